@@ -1,0 +1 @@
+"""Deliberately empty: the feature set is batch only, so no streaming job is offered."""
