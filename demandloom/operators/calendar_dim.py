@@ -147,8 +147,10 @@ def holiday_dim(
     after = lambda n: F.coalesce(F.sum(closed).over(by_day.rangeBetween(1, n)), F.lit(0))
     before = lambda n: F.coalesce(F.sum(closed).over(by_day.rangeBetween(-n, -1)), F.lit(0))
     in_last, in_next = (before, after) if swap_fix else (after, before)
+    # frames that grow with the scan cost one step a row; a shrinking frame would rescan the rest
+    backwards = Window.orderBy(F.desc("day")).rangeBetween(Window.unboundedPreceding, here)
     last = F.max(holiday).over(by_day.rangeBetween(Window.unboundedPreceding, here))
-    following = F.min(holiday).over(by_day.rangeBetween(here, Window.unboundedFollowing))
+    following = F.min(holiday).over(backwards)
     return (
         timeline.select(
             "date",

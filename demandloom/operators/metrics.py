@@ -82,10 +82,11 @@ def wape_by_volume(evaluation: DataFrame, truth: str = "y_true", pred: str = "y_
     edges = exact_quantiles(series, "mean", inner, weight="n").agg(
         F.sort_array(F.collect_list("quantile")).alias("edges")
     )
-    above = F.size(F.filter(edges.scalar(), lambda e: e < F.col("mean")))
+    above = F.size(F.filter("edges", lambda e: e < F.col("mean")))
     names = F.array(*[F.lit(name) for name in labels])
     return (
-        series.withColumn("volume_bucket", F.get(names, above))
+        series.withColumn("edges", edges.scalar())
+        .withColumn("volume_bucket", F.get(names, above))
         .groupBy("volume_bucket")
         .agg(
             F.sum("n").alias("n"),

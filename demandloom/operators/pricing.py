@@ -197,9 +197,17 @@ def standard_price_and_discount(
     """
     limits = (promo_start, promo_end, small_move)
     product = daily.schema["gb_id"].dataType
-    blocks = stage_lookup(date_blocks(daily, block_rows), "price_blocks")
     # plain integers travel to Python much faster than dates
-    rows = daily.join(blocks, ["gb_id", "date"]).withColumn("date", F.unix_date("date"))
+    rows = daily.withColumn("date", F.unix_date("date"))
+    entry_unknown = {"entry_promo": F.lit(False), "entry_std": F.lit(None).cast("double")}
+    largest = daily.groupBy("gb_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= block_rows:  # every product fits one block
+        rows = rows.withColumns({"block": F.lit(0).cast("bigint"), **entry_unknown})
+    else:
+        blocks = stage_lookup(date_blocks(rows, block_rows), "price_blocks")
+        rows = rows.join(blocks, ["gb_id", "date"])
+        entry = stage_lookup(_entry_states(rows, blocks, price_col, product, limits), "price_entries")
+        rows = rows.join(entry, ["gb_id", "block"], "left")
 
     def replay(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.iloc[np.lexsort((part["gln"], part["date"]))]
@@ -210,11 +218,6 @@ def standard_price_and_discount(
         part = part.drop(columns=["entry_promo", "entry_std", "block"])
         return part.assign(standard_price=stds, on_promotion=flags, raw_discount=ratios)
 
-    if blocks.filter(F.col("block") > 0).limit(1).count():
-        entry = stage_lookup(_entry_states(rows, blocks, price_col, product, limits), "price_entries")
-        rows = rows.join(entry, ["gb_id", "block"], "left")
-    else:  # every product fits one block
-        rows = rows.withColumns({"entry_promo": F.lit(False), "entry_std": F.lit(None).cast("double")})
     out_schema = T.StructType(
         [rows.schema[f.name] for f in daily.schema.fields]
         + [

@@ -29,21 +29,22 @@ def campaign_days(campaign: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return expand_days(campaign.filter(F.col("gb_id").isNotNull())).select("gb_id", "date", *keep)
 
 
-def _clipped_to(sales: DataFrame, intervals: DataFrame) -> DataFrame:
-    return expand_days(intervals, sales.agg(F.min("date")).scalar(), sales.agg(F.max("date")).scalar())
+def _clipped(intervals: DataFrame, calendar: DataFrame) -> DataFrame:
+    return expand_days(intervals, calendar.agg(F.min("date")).scalar(), calendar.agg(F.max("date")).scalar())
 
 
-def campaign_interval_join(sales: DataFrame, campaign: DataFrame) -> DataFrame:
+def campaign_interval_join(sales: DataFrame, campaign: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Left join of sales with every campaign that covers the day; overlaps fan rows out.
 
     The interval condition becomes an equi-join on (gb_id, date): campaigns are small and
-    are expanded to days, and a hot product spreads over its dates.
+    are expanded to days, and a hot product spreads over its dates. ``calendar`` is any table
+    with the dates of ``sales`` (default: ``sales``); a cheap one avoids running its plan twice.
     """
     order = Window.partitionBy("gb_id", "date").orderBy(
         "from_date", "to_date", "discount", "standard_price", "campaign_price"
     )
     days = (
-        _clipped_to(sales, campaign)
+        _clipped(campaign, sales if calendar is None else calendar)
         .withColumn("campaign_seq", F.row_number().over(order))
         .select(
             "gb_id",
@@ -63,11 +64,11 @@ def campaign_interval_join(sales: DataFrame, campaign: DataFrame) -> DataFrame:
     )
 
 
-def markdown_interval_join(sales: DataFrame, periods: DataFrame) -> DataFrame:
+def markdown_interval_join(sales: DataFrame, periods: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Flag days inside a chain-wide markdown period; overlapping periods fan rows out."""
     order = Window.partitionBy("date").orderBy("from_date", "to_date", "kronemarked")
     days = (
-        _clipped_to(sales, periods)
+        _clipped(periods, sales if calendar is None else calendar)
         .withColumn("markdown_seq", F.row_number().over(order))
         .select("date", "markdown_seq", "kronemarked")
     )
@@ -79,10 +80,16 @@ def markdown_interval_join(sales: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def add_promotion_features(
-    sales: DataFrame, campaign: DataFrame, periods: DataFrame, dedupe: bool = False
+    sales: DataFrame,
+    campaign: DataFrame,
+    periods: DataFrame,
+    dedupe: bool = False,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Both interval joins. ``dedupe=True`` keeps one row per sales row where intervals overlap."""
-    joined = sales.transform(campaign_interval_join, campaign).transform(markdown_interval_join, periods)
+    joined = sales.transform(campaign_interval_join, campaign, calendar).transform(
+        markdown_interval_join, periods, calendar
+    )
     if dedupe:
         joined = joined.filter((F.col("campaign_seq") <= 1) & (F.col("markdown_seq") <= 1))
     return joined
@@ -124,22 +131,20 @@ def reconcile_discount(
 
 
 def prepare_promotion_data(
-    sales: DataFrame, campaign: DataFrame, periods: DataFrame
+    sales: DataFrame, campaign: DataFrame, periods: DataFrame, calendar: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    return reconcile_discount(add_promotion_features(sales, campaign, periods))
+    return reconcile_discount(add_promotion_features(sales, campaign, periods, calendar=calendar))
+
+
+def promoted_rows() -> Column:
+    return F.count_if(F.col("on_promotion"))
 
 
 def add_promotion_count(sales: DataFrame) -> DataFrame:
     """Number of promoted rows per store-day on every row. Counted with partial sums and joined
     back, so a heavy store-day is never gathered as one window partition."""
-    counts = (
-        sales.filter(F.col("on_promotion"))
-        .groupBy("gln", "date")
-        .agg(F.count(F.lit(1)).alias("promotion_count"))
-    )
-    return sales.join(stage_lookup(counts, "promotion_count"), ["gln", "date"], "left").fillna(
-        0, subset=["promotion_count"]
-    )
+    counts = sales.groupBy("gln", "date").agg(promoted_rows().alias("promotion_count"))
+    return sales.join(stage_lookup(counts, "promotion_count"), ["gln", "date"], "left")
 
 
 def campaign_discount_consistency(

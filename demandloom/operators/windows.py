@@ -17,6 +17,8 @@ from demandloom.operators.promotions import FAN_OUT
 from demandloom.sources.staging import stage_lookup
 
 SERIES = ["gln", "gb_id"]
+# Product that shops carry over to the next day (fixed value).
+CARRYOVER_PRODUCT_ID = "655629783174417F92A38D18897A69EE"
 NEVER = 999  # distance to an event that has not happened yet (fixed value)
 
 
@@ -134,56 +136,53 @@ def add_store_temporal_features(store_daily: DataFrame) -> DataFrame:
     return store_daily.withColumns(filled).transform(add_days_since_events)
 
 
-def add_carryover_previous_row(df: DataFrame, product_id: str | int) -> DataFrame:
-    """Quantity of the carry-over product if it is the previous row of the store, else 0.
+def carryover_summary(product_id: str | int, id_type: T.DataType) -> dict[str, Column]:
+    """Aggregates per store-day that tell which product follows the carry-over product."""
+    target = F.lit(product_id).cast(id_type)
+    return {
+        "first_id": F.min("gb_id"),
+        "next_id": F.min(F.when(F.col("gb_id") > target, F.col("gb_id"))),
+        "target_qty": F.max(F.when(F.col("gb_id") == target, F.col("quantity"))),
+    }
 
-    Rows of a store are ordered by (date, product). Instead of a window over all rows of a
-    store, one summary row per store-day tells which product follows the carry-over product.
-    """
-    is_target = F.col("gb_id").cast("string") == str(product_id)
-    target_qty = F.when(is_target, F.col("quantity"))
-    target_id = F.max(F.when(is_target, F.col("gb_id")))
-    summary = df.groupBy("gln", "date").agg(
-        F.min("gb_id").alias("first_id"),
-        F.max("gb_id").alias("last_id"),
-        target_id.alias("target_id"),
-        F.max(target_qty).alias("target_qty"),
-    )
-    # the product right after the carry-over product needs the ids above it
-    after = (
-        df.select("gln", "date", "gb_id")
-        .join(
-            stage_lookup(summary.filter("target_id is not null").select("gln", "date", "target_id"), "carryover_days"),
-            ["gln", "date"],
-        )
-        .filter(F.col("gb_id") > F.col("target_id"))
-        .groupBy("gln", "date")
-        .agg(F.min("gb_id").alias("next_id"))
-    )
+
+def with_yesterday(days: DataFrame) -> DataFrame:
+    """Carry the quantity over to the next observed day where nothing follows it in its own day."""
+    carried = F.when(F.col("next_id").isNull(), F.col("target_qty"))
     by_day = Window.partitionBy("gln").orderBy("date")
-    carried = F.when(F.col("last_id") == F.col("target_id"), F.col("target_qty"))
-    days = (
-        summary.join(after, ["gln", "date"], "left")
-        .withColumn("from_yesterday", F.lag(carried).over(by_day))
-        .select("gln", "date", "first_id", "next_id", "target_id", "target_qty", "from_yesterday")
-    )
-    # rows that overlapping intervals made out of one sales row follow each other
-    first = F.lit(True)
+    return days.withColumn("from_yesterday", F.lag(carried).over(by_day))
+
+
+def carryover_value(df: DataFrame, product_id: str | int) -> Column:
+    """``gb_id_previous_day`` of rows joined with the store-day summary."""
+    first = F.lit(True)  # rows that overlapping intervals made out of one sales row follow each other
     for seq in [c for c in FAN_OUT if c in df.columns]:
         first = first & (F.col(seq) <= 1)
+    is_target = F.col("gb_id") == F.lit(product_id).cast(df.schema["gb_id"].dataType)
     follows = (
-        F.when(~first & (F.col("gb_id") == F.col("target_id")), F.col("target_qty"))
+        F.when(~first & is_target, F.col("target_qty"))
         .when(first & (F.col("gb_id") == F.col("next_id")), F.col("target_qty"))
         .when(first & (F.col("gb_id") == F.col("first_id")), F.col("from_yesterday"))
     )
-    return (
-        df.join(stage_lookup(days, "carryover_next"), ["gln", "date"], "left")
-        .withColumn("gb_id_previous_day", F.coalesce(follows, F.lit(0)))
-        .drop("first_id", "next_id", "target_id", "target_qty", "from_yesterday")
-    )
+    return F.coalesce(follows, F.lit(0))
+
+
+CARRYOVER_HELPERS = ["first_id", "next_id", "target_qty", "from_yesterday"]
+
+
+def add_carryover_previous_row(df: DataFrame, product_id: str | int = CARRYOVER_PRODUCT_ID) -> DataFrame:
+    """Quantity of the carry-over product if it is the previous row of the store, else 0.
 
+    Rows of a store are ordered by (date, product). Instead of a window over all rows of a
+    store, one summary row per store-day tells which product follows the carry-over product.
+    """
+    summary = {n: c.alias(n) for n, c in carryover_summary(product_id, df.schema["gb_id"].dataType).items()}
+    days = df.groupBy("gln", "date").agg(*summary.values()).transform(with_yesterday)
+    joined = df.join(stage_lookup(days, "carryover"), ["gln", "date"], "left")
+    return joined.withColumn("gb_id_previous_day", carryover_value(df, product_id)).drop(*CARRYOVER_HELPERS)
 
-def add_carryover_previous_day(df: DataFrame, product_id: str | int) -> DataFrame:
+
+def add_carryover_previous_day(df: DataFrame, product_id: str | int = CARRYOVER_PRODUCT_ID) -> DataFrame:
     """Quantity the carry-over product sold in the store on the calendar day before, else 0."""
     yesterday = (
         df.filter(F.col("gb_id").cast("string") == str(product_id))
@@ -198,8 +197,12 @@ def add_carryover_previous_day(df: DataFrame, product_id: str | int) -> DataFram
 def _each_day_until_next(series: DataFrame) -> DataFrame:
     """Repeat each observed row for the missing days after it (``day``); one shuffle, no join."""
     following = F.lead("date").over(Window.partitionBy("item_id").orderBy("date"))
-    last = F.coalesce(F.date_sub(following, 1), F.col("date"))
-    return series.withColumn("day", F.explode(F.sequence(F.col("date"), last)))
+    last = F.coalesce(F.date_sub("next_date", 1), F.col("date"))
+    return (
+        series.withColumn("next_date", following)
+        .withColumn("day", F.explode(F.sequence(F.col("date"), last)))
+        .drop("next_date")
+    )
 
 
 def densify_ffill(series: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from demandloom.functions.rounding import round_to
 from demandloom.operators import calendar_dim
 from demandloom.plans import oracle, sales_daily
 from demandloom.plans.inputs import CARRYOVER_PRODUCT, Inputs
+from demandloom.session import ship_package
 from demandloom.sources.staging import stage
 
 _SQL_TYPES = {
@@ -33,6 +34,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
         df = self.build(Inputs(spark, folder))
         if not self.columns:
             return df

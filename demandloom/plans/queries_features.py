@@ -113,8 +113,8 @@ def carryover_prev_day(inputs: Inputs) -> DataFrame:
 # --- store and product tables --------------------------------------------------------
 
 _STORE = (
-    "gln:long date:date quantity:long unit_price:double discount:double on_promotion:double kronemarked:int"
-    " promo_combined:double promotion_count:double closed_in_last_3_days:long closed_in_next_4_days:long"
+    "gln:long date:date quantity:long unit_price:double discount:double@9 on_promotion:double@9 kronemarked:int"
+    " promo_combined:double@9 promotion_count:double closed_in_last_3_days:long closed_in_next_4_days:long"
     " is_holiday:int days_to_nearest_holiday:long day_of_week_num:int sin_dow:double cos_dow:double"
     " sin_day:double cos_day:double month:int quarter:int"
 )
@@ -129,7 +129,7 @@ _SINCE = "days_since_last_kronemarked:long days_since_last_promotion:long"
     "sales_daily",
     f"{KEYS} quantity:long net_sales:double tax_amount:double gross_margin:double unit_price:double"
     " price_error:boolean ref_price:double corrected_unit_price:double price_correction_source:string"
-    " standard_price:double discount:double on_promotion:boolean kronemarked:boolean promo_combined:boolean"
+    " standard_price:double discount:double@9 on_promotion:boolean kronemarked:boolean promo_combined:boolean"
     " on_promotion_recomputed:boolean conflict:boolean promotion_count:long avg_last_7_sales:double"
     " std_last_7_sales:double promotion_days_count_last_7:long day_of_week:string rolling_mean:double"
     " promotion_days_count_rolling:long rolling_mean_all:double closed_in_last_3_days:long"
@@ -165,13 +165,13 @@ def total_dataset(inputs: Inputs) -> DataFrame:
 
 
 _PRODUCT = (
-    f"{KEYS} quantity:long corrected_unit_price:double discount:double on_promotion:boolean store_mean_discount:double"
-    " store_mean_price:double store_promo_rate:double discount_relative:double price_relative:double"
-    " promo_boost:double target:double avg_last_7_sales:double rolling_mean:double is_holiday:int"
+    f"{KEYS} quantity:long corrected_unit_price:double discount:double@9 on_promotion:boolean store_mean_discount:double@9"
+    " store_mean_price:double store_promo_rate:double@9 discount_relative:double@9 price_relative:double@9"
+    " promo_boost:double@9 target:double@9 avg_last_7_sales:double rolling_mean:double is_holiday:int"
 )
 
 
-@query("share_target", f"{KEYS} quantity:long store_total:long target:double", "share", "share")
+@query("share_target", f"{KEYS} quantity:long store_total:long target:double@9", "share", "share")
 def share_target(inputs: Inputs) -> DataFrame:
     return datasets.product_dataset(catalog.features(inputs), "share")
 
@@ -190,7 +190,7 @@ def direct_dataset(inputs: Inputs) -> DataFrame:
 
 @query(
     "relative_features",
-    f"{KEYS} discount_relative:double price_relative:double promo_boost:double",
+    f"{KEYS} discount_relative:double@9 price_relative:double@9 promo_boost:double@9",
     "relative",
     "relative",
 )
@@ -199,7 +199,7 @@ def relative_features(inputs: Inputs) -> DataFrame:
 
 
 _TOTAL_FEATURES = (
-    "unit_price:double discount:double kronemarked:int promo_combined:double promotion_count:double"
+    "unit_price:double discount:double@9 kronemarked:int promo_combined:double@9 promotion_count:double"
     " closed_in_last_3_days:long closed_in_next_4_days:long is_holiday:int days_to_nearest_holiday:long"
     " day_of_week_num:int sin_dow:double cos_dow:double sin_day:double cos_day:double month:int sales_lag_1:double"
     " sales_lag_7:double rolling_mean_7:double rolling_std_7:double rolling_std_30:double"
@@ -260,7 +260,7 @@ def target_encode_store(inputs: Inputs) -> DataFrame:
 
 @query(
     "target_encode_product",
-    f"{KEYS} gb_id_mean_target:double promo_x_popularity:double",
+    f"{KEYS} gb_id_mean_target:double@9 promo_x_popularity:double@9",
     "share",
     f"""SELECT s.gln, s.gb_id, s.date, coalesce(m.te, g.te) AS gb_id_mean_target,
                CAST(on_promotion AS INTEGER) * coalesce(m.te, g.te) AS promo_x_popularity
@@ -319,7 +319,7 @@ def product_series_of(inputs: Inputs) -> DataFrame:
 
 @query(
     "product_series",
-    "item_id:string date:date target:double discount:double is_holiday:int",
+    "item_id:string date:date target:double@9 discount:double@9 is_holiday:int",
     "sales_daily",
     """SELECT gb_id || '_' || gln AS item_id, date, quantity AS target, discount, is_holiday FROM sales_daily""",
 )
@@ -354,8 +354,8 @@ def densify_ffill(inputs: Inputs) -> DataFrame:
 
 
 _SERIES_COLUMNS = (
-    "item_id:string date:date target:double day_of_week_num:int month:int is_holiday:int on_promotion:double"
-    " discount:double kronemarked:int promo_combined:double promotion_count:double closed_in_next_4_days:long"
+    "item_id:string date:date target:double@9 day_of_week_num:int month:int is_holiday:int on_promotion:double@9"
+    " discount:double@9 kronemarked:int promo_combined:double@9 promotion_count:double closed_in_next_4_days:long"
 )
 _FILL = ", ".join(
     f"last_value(s.{c} IGNORE NULLS) OVER w AS {c}"
@@ -383,7 +383,7 @@ def store_series(inputs: Inputs) -> DataFrame:
 
 @query(
     "normalize_shares",
-    f"{KEYS} pred_share:double",
+    f"{KEYS} pred_share:double@9",
     "sales_daily",
     """SELECT gln, gb_id, date, rolling_mean / nullif(sum(rolling_mean) OVER (PARTITION BY gln, date), 0) AS pred_share
        FROM sales_daily""",
@@ -395,7 +395,7 @@ def normalize_shares(inputs: Inputs) -> DataFrame:
 
 @query(
     "hierarchical_reconcile",
-    f"{KEYS} quantity:long pred_share:double pred_total:double pred_quantity:double",
+    f"{KEYS} quantity:long pred_share:double@9 pred_total:double pred_quantity:double@9",
     "sales_daily total",
     """SELECT s.gln, s.gb_id, s.date, s.quantity, pred_share, t.rolling_mean_7 AS pred_total,
               pred_share * t.rolling_mean_7 AS pred_quantity

@@ -231,7 +231,9 @@ def markdown_interval_join(inputs: Inputs) -> DataFrame:
 
 
 def _joined(inputs: Inputs) -> DataFrame:
-    return promotions.add_promotion_features(catalog.promoted(inputs), inputs.campaign, inputs.markdown_periods)
+    return promotions.add_promotion_features(
+        catalog.promoted(inputs), inputs.campaign, inputs.markdown_periods, calendar=catalog.daily(inputs)
+    )
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from demandloom.operators import calendar_dim, cleaning, pricing, promotions, windows
-from demandloom.sources.staging import stage
+from demandloom.sources.staging import stage, stage_lookup
 
 
 def clean_daily(sales_hourly: DataFrame, ean_map: DataFrame) -> DataFrame:
@@ -23,14 +23,22 @@ def add_features(
     sales: DataFrame, dates: DataFrame, holidays: DataFrame, carryover_product: str | int
 ) -> DataFrame:
     """Promotion count, lags, rolling means, holidays, carry-over and seasonality."""
-    holiday_dim = calendar_dim.holiday_dim(dates, holidays)
+    # everything that follows from the date alone is computed once per date
+    date_features = calendar_dim.holiday_dim(dates, holidays).transform(calendar_dim.add_seasonality_features)
+    # promotion count and carry-over need the same grain: one store-day aggregate serves both
+    summary = windows.carryover_summary(carryover_product, sales.schema["gb_id"].dataType)
+    store_days = (
+        sales.groupBy("gln", "date")
+        .agg(promotions.promoted_rows().alias("promotion_count"), *[c.alias(n) for n, c in summary.items()])
+        .transform(windows.with_yesterday)
+    )
     return (
-        sales.transform(promotions.add_promotion_count)
+        sales.join(stage_lookup(store_days, "store_days"), ["gln", "date"], "left")
+        .withColumn("gb_id_previous_day", windows.carryover_value(sales, carryover_product))
+        .drop(*windows.CARRYOVER_HELPERS)
         .transform(windows.add_lag_features)
         .transform(windows.add_rolling_mean_features)
-        .transform(windows.add_carryover_previous_row, carryover_product)
-        .transform(calendar_dim.join_dates, holiday_dim)
-        .transform(calendar_dim.add_seasonality_features)
+        .transform(calendar_dim.join_dates, date_features)
         .drop(*promotions.FAN_OUT)
     )
 
@@ -40,7 +48,7 @@ def prepare_sales_data(
     ean_map: DataFrame,
     campaign: DataFrame,
     markdown_periods: DataFrame,
-    carryover_product: str | int,
+    carryover_product: str | int = windows.CARRYOVER_PRODUCT_ID,
     holidays: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(sales_daily features, standard price mismatches).
@@ -49,7 +57,9 @@ def prepare_sales_data(
     state machine, so neither the raw scan nor the state machine runs twice.
     """
     daily = clean_daily(sales_hourly, ean_map)
-    joined = promotions.add_promotion_features(promoted_daily(daily), campaign, markdown_periods)
+    joined = promotions.add_promotion_features(
+        promoted_daily(daily), campaign, markdown_periods, calendar=daily
+    )
     promoted = stage(joined, "promoted")
     reconciled, mismatch = promotions.reconcile_discount(promoted)
     dates = calendar_dim.distinct_dates(daily)
@@ -62,7 +72,7 @@ def prepare_sales_data_with_diagnostics(
     ean_map: DataFrame,
     campaign: DataFrame,
     markdown_periods: DataFrame,
-    carryover_product: str | int,
+    carryover_product: str | int = windows.CARRYOVER_PRODUCT_ID,
 ) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """The job's two tables plus the raw rows and both price anomaly tables."""
     features, mismatch = prepare_sales_data(

@@ -6,7 +6,9 @@ On a cluster the session comes from the platform; only the SQL settings in
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +21,30 @@ SQL_SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application.
+
+    Grouped and mapped pandas functions refer to package modules. Where the package is not
+    installed on the executors, a zip of it travels like any ``--py-files`` archive.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="demandloom-zip-"), "demandloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def local_session(cores: int | str = "*", app: str = "demandloom", memory: str = "16g") -> SparkSession:
     """A ``local[n]`` session with its own scratch checkpoint folder (tests and bench only)."""
     n = 8 if cores == "*" else int(cores)
@@ -27,6 +53,7 @@ def local_session(cores: int | str = "*", app: str = "demandloom", memory: str =
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="demandloom-ckpt-"))
     )

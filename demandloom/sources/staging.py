@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup is broadcast only up to this many rows. Lookups hold a key and a few numbers
@@ -50,5 +50,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def stage_lookup(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Stage an aggregate of the facts and broadcast it when its counted size allows."""
-    return broadcast_if_small(stage(df, label), max_rows)
+    """Stage an aggregate of the facts and broadcast it when its size allows.
+
+    Rows are counted while they are written, so the check costs no job. A retried task may
+    count twice, which can only turn a broadcast into a shuffle join.
+    """
+    counter = Observation()
+    staged = stage(df.observe(counter, F.count(F.lit(1)).alias("rows")), label)
+    return F.broadcast(staged) if counter.get["rows"] <= max_rows else staged
