@@ -64,15 +64,26 @@ def fit_seasonal_regression(df: DataFrame, regressors: list[str] | None = None,
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         upper = np.triu_indices(size)
+        sums: dict[str, list] = {}
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for key, (gram, n) in sums.items():
+                yield pd.DataFrame({"model_key": key, "i": upper[0], "j": upper[1], "v": gram[upper], "n": n})
+            sums.clear()
+
         for pdf in batches:
             for key, part in pdf.groupby("model_key"):
                 x = np.column_stack([_terms(part, regressors), part["quantity"].to_numpy(dtype=float)])
-                gram = x.T @ x
-                yield pd.DataFrame(
-                    {"model_key": key, "i": upper[0], "j": upper[1], "v": gram[upper], "n": len(part)}
-                )
+                total = sums.setdefault(key, [np.zeros((size, size)), 0])
+                total[0] += x.T @ x
+                total[1] += len(part)
+            if len(sums) > 512:  # bounds task memory; the shuffle aggregate adds the pieces up
+                yield from flush()
+        yield from flush()
 
     clean = _inputs(df, regressors).filter(F.col("model_key").isNotNull() & F.col("quantity").isNotNull())
+    if "gln" in df.columns:  # a store has one row per day, so a hash partition holds whole stores
+        clean = clean.repartition("model_key")
     grams = clean.mapInPandas(partial, GRAM_SCHEMA).groupBy("model_key", "i", "j").agg(
         F.sum("v").alias("v"), F.sum("n").alias("n")
     )

@@ -104,6 +104,12 @@ def train_and_score(train_df: DataFrame, test_df: DataFrame, model_type: str, ki
     return score(train(train_df, model_type, kind, **params), test_df, label)
 
 
+def load_and_test(path: str, test_df: DataFrame, model_type: str) -> DataFrame:
+    """Metrics of a saved model against the label of its type."""
+    _, label = select_features(test_df, model_type)
+    return error_metrics(score(load_model(path), test_df, label))
+
+
 def feature_importance(model: PipelineModel, spark, top_k: int | None = 20) -> DataFrame:
     """(feature, importance), most important first; unused features are listed with 0."""
     weights = model.stages[-1].featureImportances.toArray().tolist()

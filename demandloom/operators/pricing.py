@@ -47,12 +47,18 @@ def correct_daily_unit_price(
     low: float = LOW_PRICE,
     high: float = HIGH_PRICE,
     days_window: int = 30,
+    history: DataFrame | None = None,
 ) -> DataFrame:
-    """Replace implausible prices by the recent store-product median, else the product median."""
+    """Replace implausible prices by the recent store-product median, else the product median.
+
+    ``history`` is the table the medians are taken from (default: ``daily``); a written table
+    with the same prices avoids running the plan of ``daily`` for them.
+    """
+    history = daily if history is None else history
     priced = (
         daily.withColumn("price_error", implausible_price(low, high))
-        .join(stage_lookup(recent_store_medians(daily, days_window), "ref_store"), ["gln", "gb_id"], "left")
-        .join(stage_lookup(product_medians(daily), "ref_global"), "gb_id", "left")
+        .join(stage_lookup(recent_store_medians(history, days_window), "ref_store"), ["gln", "gb_id"], "left")
+        .join(stage_lookup(product_medians(history), "ref_global"), "gb_id", "left")
         .withColumn("ref_price", F.coalesce("ref_store_price", "ref_global_price"))
     )
     repaired = F.col("price_error") & F.col("ref_price").isNotNull()
@@ -259,8 +265,8 @@ def _entry_states(rows: DataFrame, blocks: DataFrame, price_col: str, product: T
             report,
             T.StructType()
             .add("gb_id", product)
-            .add("block", "bigint")
-            .add("pos", "bigint")
+            .add("block", T.LongType())
+            .add("pos", T.LongType())
             .add("price", "double")
             .add("exit_promo", "boolean")
             .add("exit_std", "double"),
@@ -278,7 +284,7 @@ def _entry_states(rows: DataFrame, blocks: DataFrame, price_col: str, product: T
         entries,
         T.StructType()
         .add("gb_id", product)
-        .add("block", "bigint")
+        .add("block", T.LongType())
         .add("entry_promo", "boolean")
         .add("entry_std", "double"),
     )

@@ -47,7 +47,14 @@ def high_correlation_pairs(df: DataFrame, threshold: float = 0.90, exclude: tupl
     numeric = [
         f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude
     ]
-    value = lambda c: F.col(c).cast("double")
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+    def correlation(a: str, b: str):
+        x, y = value(a), value(b)
+        # F.corr fails on a constant column; here it has no correlation
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.try_divide(F.covar_pop(x, y), spread)
+
     pairs = list(combinations(numeric, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr_abs double")
@@ -57,7 +64,7 @@ def high_correlation_pairs(df: DataFrame, threshold: float = 0.90, exclude: tupl
                 F.struct(
                     F.lit(a).alias("feature_a"),
                     F.lit(b).alias("feature_b"),
-                    F.abs(F.corr(value(a), value(b))).alias("corr_abs"),
+                    F.abs(correlation(a, b)).alias("corr_abs"),
                 )
                 for a, b in pairs
             ]
@@ -65,7 +72,7 @@ def high_correlation_pairs(df: DataFrame, threshold: float = 0.90, exclude: tupl
     )
     return (
         stats.select(F.inline("pairs"))
-        .filter(~F.isnan("corr_abs") & (F.col("corr_abs") >= threshold))
+        .filter(F.col("corr_abs") >= threshold)
         .orderBy(F.desc("corr_abs"), "feature_a", "feature_b")
     )
 

@@ -161,7 +161,7 @@ def carryover_value(df: DataFrame, product_id: str | int) -> Column:
     is_target = F.col("gb_id") == F.lit(product_id).cast(df.schema["gb_id"].dataType)
     follows = (
         F.when(~first & is_target, F.col("target_qty"))
-        .when(first & (F.col("gb_id") == F.col("next_id")), F.col("target_qty"))
+        .when(first & (F.col("gb_id") == F.col("next_id")) & F.col("target_qty").isNotNull(), F.col("target_qty"))
         .when(first & (F.col("gb_id") == F.col("first_id")), F.col("from_yesterday"))
     )
     return F.coalesce(follows, F.lit(0))

@@ -15,7 +15,7 @@ from demandloom.plans.inputs import Inputs
 from demandloom.sources.staging import new_folder, stage
 
 # Few, shallow trees: the checks run on every table at full size, not on samples of rows.
-SMALL_GBT = {"maxIter": 8, "maxDepth": 4}
+SMALL_GBT = {"maxIter": 6, "maxDepth": 4}
 SMALL_RF = {"numTrees": 10, "maxDepth": 6}
 SMALL_SPACE = {"maxIter": (3, 6), "maxDepth": (2, 4), "stepSize": (0.05, 0.3)}
 METRICS = "n:long mse:double mae:double r2:double mape_nonzero:double rmsle:double wmape:double"
@@ -49,7 +49,7 @@ def gbt_total(inputs: Inputs) -> DataFrame:
     train, test = _store_split(inputs)
     folder = new_folder(inputs.spark, "model")
     trees.save_model(trees.train(train, "xgb_total", **SMALL_GBT), folder)
-    return metrics.error_metrics(trees.score(trees.load_model(folder), test, "quantity"))
+    return trees.load_and_test(folder, test, "xgb_total")
 
 
 @query("gbt_share", METRICS + " weighted_mae:double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandloom import schemas
-from demandloom.sources.staging import broadcast_if_small
+from demandloom.sources.staging import stage_lookup
 
 
 def _as_text(schema: T.StructType) -> T.StructType:
@@ -43,7 +43,7 @@ def read_csv_folder(
     *,
     sep: str = ",",
     mixed_headers: bool = False,
-    drop_blank_files: bool = True,
+    blank_rows: str = "by_file",
     rename: dict[str, str] = schemas.RAW_COLUMN_NAMES,
 ) -> DataFrame:
     """All ``*.csv`` below ``folder`` as one table, matched by column name.
@@ -51,7 +51,11 @@ def read_csv_folder(
     Files normally share one header; a file whose header differs fails the job
     (``enforceSchema=False``) instead of shifting columns. ``mixed_headers=True`` first
     reads the header line of every file and unions the header groups by name.
-    Files that hold only empty cells are left out when ``drop_blank_files``.
+
+    ``blank_rows="by_file"`` leaves out files that hold only empty cells and keeps an empty row
+    of any other file; finding such files reads the folder once more. ``"drop"`` drops every
+    row without a value in the same single pass (a row without a barcode never survives the
+    product mapping, so daily tables do not change). ``"keep"`` does nothing.
     """
     if mixed_headers:
         raw = _read_by_header(spark, folder, sep)
@@ -62,10 +66,15 @@ def read_csv_folder(
     for old, new in rename.items():
         if old in raw.columns:
             raw = raw.withColumnRenamed(old, new)
-    if drop_blank_files:
-        cells = [F.col(c).isNotNull() for c in raw.columns if c != "_file"]
-        filled = raw.filter(reduce(lambda a, b: a | b, cells)).select("_file").distinct()
-        raw = raw.join(filled, "_file", "left_semi")
+    filled = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in raw.columns if c != "_file"])
+    if blank_rows == "drop":
+        raw = raw.filter(filled)
+    elif blank_rows == "by_file":
+        # the list of blank files is short, so rows meet it in a broadcast join
+        blank = raw.groupBy("_file").agg(F.max(filled).alias("any_value")).filter(~F.col("any_value"))
+        raw = raw.join(stage_lookup(blank.select("_file"), "blank_files"), "_file", "left_anti")
+    elif blank_rows != "keep":
+        raise ValueError(f"unknown blank_rows: {blank_rows}")
     absent = [f for f in schema.fields if f.name not in raw.columns]
     raw = raw.select("*", *[F.lit(None).cast("string").alias(f.name) for f in absent])
     return raw.select([_typed(f.name, f.dataType) for f in schema.fields])
@@ -105,7 +114,7 @@ def _read_by_header(spark: SparkSession, folder: str, sep: str) -> DataFrame:
 
 def read_dimension_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
     """Barcode map, campaign or markdown file, renamed and typed by ``schema``."""
-    return read_csv_folder(spark, path, schema, sep=sep, drop_blank_files=False)
+    return read_csv_folder(spark, path, schema, sep=sep, blank_rows="keep")
 
 
 def numeric_if_all_parse(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -143,7 +152,6 @@ def write_report(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
 
 
 __all__ = [
-    "broadcast_if_small",
     "numeric_if_all_parse",
     "read_csv_folder",
     "read_dimension_csv",
