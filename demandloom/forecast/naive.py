@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.operators.metrics import wape
@@ -36,15 +36,18 @@ def seasonal_naive(dense: DataFrame, horizon: int = 7, season: int = 7) -> DataF
     )
 
 
-def backtest_rows(dense: DataFrame, horizon: int = 7, origins: int = 90, season: int = 7) -> DataFrame:
+def backtest_rows(
+    dense: DataFrame, horizon: int = 7, origins: int = 90, season: int = 7, last_day: Column | None = None
+) -> DataFrame:
     """(item_id, origin, horizon, date, y_true, y_pred) for every origin of the last days.
 
     An origin is the first forecast day and sees only earlier days. A day is the target of up
     to ``horizon`` origins, so rows are multiplied by at most ``horizon``; no range join.
+    ``last_day`` may be a scalar from a written table, so the plan of ``dense`` runs once.
     """
     if horizon > season:
         raise ValueError("the horizon of a seasonal naive backtest is at most one season")
-    last = dense.agg(F.max("date")).scalar()
+    last = dense.agg(F.max("date")).scalar() if last_day is None else last_day
     return (
         dense.transform(with_seasonal_naive, season)
         .filter(F.col("y_pred").isNotNull() & (F.col("date") > F.date_sub(last, origins)))

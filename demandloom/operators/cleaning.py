@@ -89,9 +89,14 @@ def map_products(sales: DataFrame, ean_map: DataFrame) -> DataFrame:
     return sales.withColumn("quantity", whole).join(lookup, "ean_code")
 
 
+def money_sum(column: str) -> Column:
+    """Sum in whole millionths. Sums of doubles depend on the order in which partitions arrive,
+    which would flip roundings from run to run; sums of whole numbers do not."""
+    return F.sum(F.rint(F.col(column) * 1e6).try_cast("bigint")) / F.lit(1e6)
+
+
 def _rollup(mapped: DataFrame, keys: list[str]) -> DataFrame:
-    sums = [F.sum(c).alias(c) for c in ["quantity", *MONEY]]
-    return mapped.groupBy(*keys).agg(*sums)
+    return mapped.groupBy(*keys).agg(F.sum("quantity").alias("quantity"), *[money_sum(c).alias(c) for c in MONEY])
 
 
 def _cents(df: DataFrame) -> DataFrame:

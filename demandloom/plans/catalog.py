@@ -88,12 +88,12 @@ def query(name: str, columns: str = "", needs: str = "", sql: str | None = None)
 _PROCESSED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def forget_processed() -> None:
+def forgetprocessed() -> None:
     """Rebuild the processed tables on next use (the benchmark times cold builds this way)."""
     _PROCESSED.clear()
 
 
-def _processed(inputs: Inputs, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def processed(inputs: Inputs, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     key = (inputs.spark.sparkContext.applicationId, inputs.folder, name)
     if key not in _PROCESSED:
         _PROCESSED[key] = build()
@@ -101,18 +101,18 @@ def _processed(inputs: Inputs, name: str, build: Callable[[], DataFrame]) -> Dat
 
 
 def daily(inputs: Inputs) -> DataFrame:
-    return _processed(inputs, "daily", lambda: sales_daily.clean_daily(inputs.sales_hourly, inputs.ean_map))
+    return processed(inputs, "daily", lambda: sales_daily.clean_daily(inputs.sales_hourly, inputs.ean_map))
 
 
 def promoted(inputs: Inputs) -> DataFrame:
-    return _processed(inputs, "promoted", lambda: stage(sales_daily.promoted_daily(daily(inputs)), "promoted"))
+    return processed(inputs, "promoted", lambda: stage(sales_daily.promoted_daily(daily(inputs)), "promoted"))
 
 
 def features(inputs: Inputs) -> DataFrame:
     def build() -> DataFrame:
         return stage(build_sales_daily(inputs), "sales_daily")
 
-    return _processed(inputs, "sales_daily", build)
+    return processed(inputs, "sales_daily", build)
 
 
 def build_sales_daily(inputs: Inputs) -> DataFrame:

@@ -87,7 +87,7 @@ SELECT gln, gb_id, date, from_hour, to_hour, quantity, (round_even((net_sales) *
        (round_even((tax_amount) * 1e3, 0) / 1e3) AS tax_amount, (round_even((gross_margin) * 1e3, 0) / 1e3) AS gross_margin,
        (round_even(((net_sales + tax_amount) / nullif(quantity, 0)) * 1e3, 0) / 1e3) AS unit_price
 FROM (SELECT gln, gb_id, date, from_hour, to_hour, CAST(sum(quantity) AS BIGINT) AS quantity,
-             sum(net_sales) AS net_sales, sum(tax_amount) AS tax_amount, sum(gross_margin) AS gross_margin
+             CAST(sum(CAST(round_even(net_sales * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6 AS net_sales, CAST(sum(CAST(round_even(tax_amount * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6 AS tax_amount, CAST(sum(CAST(round_even(gross_margin * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6 AS gross_margin
       FROM mapped GROUP BY ALL)""",
 )
 cte(
@@ -96,8 +96,8 @@ cte(
     """
 SELECT *, (round_even(((net_sales + tax_amount) / nullif(quantity, 0)) * 1e3, 0) / 1e3) AS unit_price
 FROM (SELECT gln, gb_id, date, CAST(sum(quantity) AS BIGINT) AS quantity,
-             (round_even((sum(net_sales)) * 1e3, 0) / 1e3) AS net_sales, (round_even((sum(tax_amount)) * 1e3, 0) / 1e3) AS tax_amount,
-             (round_even((sum(gross_margin)) * 1e3, 0) / 1e3) AS gross_margin
+             (round_even((CAST(sum(CAST(round_even(net_sales * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6) * 1e3, 0) / 1e3) AS net_sales, (round_even((CAST(sum(CAST(round_even(tax_amount * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6) * 1e3, 0) / 1e3) AS tax_amount,
+             (round_even((CAST(sum(CAST(round_even(gross_margin * 1e6, 0) AS BIGINT)) AS DOUBLE) / 1e6) * 1e3, 0) / 1e3) AS gross_margin
       FROM mapped GROUP BY gln, gb_id, date)""",
 )
 cte(

@@ -9,9 +9,10 @@ from demandloom.forecast import naive
 from demandloom.operators import cleaning, datasets, metrics, profile, windows
 from demandloom.plans import catalog
 from demandloom.plans.catalog import query
-from demandloom.plans.inputs import PRODUCTS, Inputs
+from demandloom.plans.inputs import PRODUCTS, Inputs, as_of
 from demandloom.plans.queries_features import product_series_of
 from demandloom.plans.queries_tables import DAILY, _dispersion
+from demandloom.sources.staging import stage
 
 # --- profiles ------------------------------------------------------------------------
 
@@ -200,7 +201,7 @@ def discount_bands(inputs: Inputs) -> DataFrame:
 # --- evaluation: seasonal naive on observed product days ------------------------------
 
 
-def evaluation(inputs: Inputs) -> DataFrame:
+def build_evaluation(inputs: Inputs) -> DataFrame:
     """(item_id, date, y_true, y_pred): a week-old quantity as the forecast of each observed day."""
     series = product_series_of(inputs).withColumn("observed", F.lit(1))
     return (
@@ -210,6 +211,11 @@ def evaluation(inputs: Inputs) -> DataFrame:
     )
 
 
+def evaluation(inputs: Inputs) -> DataFrame:
+    """The evaluation frame is a written table: every metric reads it."""
+    return catalog.processed(inputs, "evaluation", lambda: stage(build_evaluation(inputs), "evaluation"))
+
+
 @query(
     "error_metrics",
     "n:long mse:double mae:double r2:double mape:double mape_nonzero:double rmsle:double wmape:double",
@@ -340,6 +346,10 @@ def _dense_products(inputs: Inputs) -> DataFrame:
     return windows.densify_zero(product_series_of(inputs))
 
 
+def _backtest(inputs: Inputs) -> DataFrame:
+    return naive.backtest_rows(_dense_products(inputs), last_day=as_of(0, catalog.daily(inputs)))
+
+
 @query("seasonal_naive", "item_id:string date:date horizon:int y_pred:double", "naive_forecast", "naive_forecast")
 def seasonal_naive(inputs: Inputs) -> DataFrame:
     return naive.seasonal_naive(_dense_products(inputs))
@@ -353,7 +363,7 @@ def seasonal_naive(inputs: Inputs) -> DataFrame:
               avg(abs(y_true - y_pred)) AS mae FROM backtest GROUP BY origin""",
 )
 def rolling_backtest(inputs: Inputs) -> DataFrame:
-    rows = naive.backtest_rows(_dense_products(inputs))
+    rows = _backtest(inputs)
     scored = metrics.error_metrics(rows, by=("origin",))
     return scored.select("origin", "n", "mae", (F.col("wmape") / 100).alias("wape"))
 
@@ -366,7 +376,7 @@ def rolling_backtest(inputs: Inputs) -> DataFrame:
               sum(abs(y_true - y_pred)) / sum(y_true) * 100 AS wmape FROM backtest GROUP BY horizon""",
 )
 def metrics_by_horizon(inputs: Inputs) -> DataFrame:
-    return metrics.error_metrics(naive.backtest_rows(_dense_products(inputs)), by=("horizon",))
+    return metrics.error_metrics(_backtest(inputs), by=("horizon",))
 
 
 _LEVELS = ", ".join(str(q) for q in naive.STORE_QUANTILES)
@@ -384,7 +394,7 @@ _LEVELS = ", ".join(str(q) for q in naive.STORE_QUANTILES)
 )
 def forecast_quantiles(inputs: Inputs) -> DataFrame:
     dense = _dense_products(inputs)
-    return naive.forecast_quantiles(naive.seasonal_naive(dense), naive.backtest_rows(dense))
+    return naive.forecast_quantiles(naive.seasonal_naive(dense), _backtest(inputs))
 
 
 _CANDIDATES = {"weekday_mean": "rolling_mean", "recent_mean": "rolling_mean_all", "week_mean": "avg_last_7_sales"}

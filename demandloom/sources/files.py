@@ -24,7 +24,10 @@ def _typed(name: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.LongType, T.IntegerType)):
         # whole numbers are often written as 12.0; DECIMAL keeps all digits of a barcode
         return text.try_cast(T.DecimalType(38, 6)).try_cast(dtype).alias(name)
-    return text.try_cast(dtype).alias(name)
+    value = text.try_cast(dtype)
+    if isinstance(dtype, T.DoubleType):
+        value = F.nanvl(value, F.lit(None).cast(dtype))
+    return value.alias(name)
 
 
 def _reader(spark: SparkSession, sep: str):
