@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from demandloom.operators.metrics import wape
 from demandloom.operators.quantiles import exact_quantiles
-from demandloom.sources.staging import stage_lookup
+from demandloom.sources.staging import stage, stage_lookup
 
 STORE_QUANTILES = [0.025, 0.05, 0.5, 0.95, 0.975]  # fixed values
 
@@ -70,6 +71,20 @@ def forecast_quantiles(
     )
 
 
+def holdout_predictions(
+    dense: DataFrame, models: dict[str, Callable[[DataFrame, int], DataFrame]], horizon: int = 7
+) -> dict[str, DataFrame]:
+    """Forecast the last ``horizon`` days of the table with every model, from the days before.
+
+    Truth and forecast meet in an inner join, so a series that ended earlier is not scored.
+    """
+    history = stage(dense, "history")
+    cut = F.date_sub(history.agg(F.max("date")).scalar(), horizon)
+    train, truth = history.filter(F.col("date") <= cut), history.filter(F.col("date") > cut)
+    actual = truth.select("item_id", "date", F.col("target").alias("y_true"))
+    return {name: actual.join(forecast(train, horizon), ["item_id", "date"]) for name, forecast in models.items()}
+
+
 def leaderboard(predictions: dict[str, DataFrame]) -> DataFrame:
     """WAPE per model, best first; each frame holds (y_true, y_pred)."""
     frames = [

@@ -113,7 +113,7 @@ def predict_seasonal_regression(df: DataFrame, models: DataFrame, regressors: li
     models = stage_lookup(models, "seasonal_models")
     own = models.select("model_key", F.col("coefficients").alias("own"))
     fallback = models.filter(F.col("model_key") == GLOBAL_KEY).select("coefficients").scalar()
-    missing = F.raise_error(F.concat(F.lit("No model found for group "), F.col("model_key"))).cast("array<double>")
+    missing = F.raise_error(F.concat(F.lit("no model for store "), F.col("model_key"))).cast("array<double>")
     coefficients = F.coalesce("own", fallback, missing)
     joined = _inputs(df, regressors).join(own, "model_key", "left").withColumn("beta", coefficients)
 

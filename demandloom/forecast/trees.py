@@ -226,7 +226,7 @@ def prune_compare(
     )
     kept = [f for f, w in ranked if w > threshold] if threshold is not None else [f for f, _ in ranked[:top_k]]
     if not kept:
-        raise ValueError("No features selected. Lower threshold or increase top-k.")
+        raise ValueError("no feature is important enough to keep")
     pruned = fit(train_df, kept, label, kind, **params)
 
     def row(name: str, model: PipelineModel, n: int) -> DataFrame:

@@ -98,7 +98,7 @@ def product_dataset(sales: DataFrame, target: str = "share") -> DataFrame:
     """
     assert_columns_exist(sales.columns, ["gln", "gb_id", "date", "quantity"], "product_dataset")
     if target not in ("share", "quantity"):
-        raise ValueError(f"Unknown target: {target}")
+        raise ValueError(f"target must be share or quantity, not {target}")
     share = target == "share"
     stats = stage_lookup(_store_day_stats(sales, with_total=share), "store_day_stats")
     df = sales.join(stats, ["gln", "date"], "left")
@@ -108,7 +108,7 @@ def product_dataset(sales: DataFrame, target: str = "share") -> DataFrame:
         df = df.withColumn("target", F.col("quantity").cast("double"))
     df = df.withColumns(relative_feature_columns()).drop(*DROP_ALWAYS, *DROP_TEXT)
     if not share and "store_total" in df.columns:
-        raise RuntimeError("Leakage detected: store_total present in direct model")
+        raise RuntimeError("store_total must not reach the direct model")
     assert_columns_exist(df.columns, ["target", "gln", "gb_id", "date", "quantity"], f"product_dataset:{target}")
     return df
 
@@ -134,7 +134,7 @@ def reconcile(shares: DataFrame, totals: DataFrame) -> DataFrame:
 def select_features(df: DataFrame, model_type: str) -> tuple[list[str], str]:
     """(feature columns, label column) of a model type; the label is never a feature."""
     if model_type not in LABELS:
-        raise ValueError(f"Unknown model_type: {model_type}")
+        raise ValueError(f"model type must be one of {sorted(LABELS)}, not {model_type}")
     label = LABELS[model_type]
     assert_columns_exist(df.columns, [label], f"select_features:{model_type}")
     features = [c for c in df.columns if c not in NOT_FEATURES[model_type]]
@@ -151,7 +151,7 @@ def detect_column(df: DataFrame, candidates: tuple[str, ...], what: str) -> str:
     for name in candidates:
         if name in df.columns:
             return name
-    raise KeyError(f"No {what} column found. Expected one of: {', '.join(candidates)}.")
+    raise KeyError(f"the table has no {what} column ({', '.join(candidates)})")
 
 
 def fit_target_encoding(
@@ -312,7 +312,7 @@ def store_series(
     series = df.groupBy(item, "date").agg(*aggregates)
     if expected_series is not None:
         found = df.agg(F.countDistinct("gln")).scalar()
-        message = F.concat(F.lit(f"Expected {expected_series} stores, but got "), found.cast("string"))
+        message = F.concat(F.lit(f"{expected_series} stores expected, found "), found.cast("string"))
         checked = F.when(found == expected_series, F.col("item_id")).otherwise(F.raise_error(message).cast("string"))
         series = series.withColumn("item_id", checked)
     wanted = [c for c in COVARIATE_SETS[covariates] if c in series.columns] if covariates else []

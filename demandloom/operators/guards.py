@@ -62,15 +62,14 @@ AUDIT_TEXT = {
 def assert_columns_exist(columns: Iterable[str], required: Iterable[str], context: str) -> None:
     missing = sorted(set(required) - set(columns))
     if missing:
-        raise ValueError(f"[{context}] Missing required columns: {missing}")
+        raise ValueError(f"{context}: columns not found: {missing}")
 
 
 def assert_no_forbidden_features(features: Iterable[str], model_type: str, context: str = "") -> None:
     forbidden = ALWAYS_FORBIDDEN | FORBIDDEN_BY_MODEL.get(model_type, set())
     leaked = sorted(set(features) & forbidden)
     if leaked:
-        where = f"[{context}] " if context else ""
-        raise RuntimeError(f"{where}Leakage risk: forbidden feature columns present for {model_type}: {leaked}")
+        raise RuntimeError(f"{context or model_type}: not allowed as features of {model_type}: {leaked}")
 
 
 def assert_known_at_horizon(
@@ -80,10 +79,7 @@ def assert_known_at_horizon(
     allowed = set(known_future or KNOWN_FUTURE)
     unsure = sorted(f for f in set(features) - allowed if not any(t in f for t in HISTORY_TOKENS))
     if unsure:
-        raise RuntimeError(
-            f"[{context}] Potential forecast-time availability risk. "
-            f"Review these columns before horizon training: {unsure}"
-        )
+        raise RuntimeError(f"{context}: not known to be available when the forecast is made: {unsure}")
 
 
 def audit_features(
@@ -141,4 +137,4 @@ def assert_no_missing(df: DataFrame, columns: list[str]) -> None:
     row = missing_counts(df, columns).first()
     bad = {c: row[c] for c in columns if row[c]}
     if bad:
-        raise ValueError(f"NaN values detected in training data: {bad}")
+        raise ValueError(f"missing values in the training table: {bad}")

@@ -17,6 +17,9 @@ PROMO_START = 0.90
 PROMO_END = 0.97
 SMALL_MOVE = 0.05
 
+# Rows of one product that a single task sees at once in the ordered price operators.
+BLOCK_ROWS = 100_000
+
 
 def product_medians(daily: DataFrame) -> DataFrame:
     """Exact median price per product.
@@ -194,13 +197,14 @@ def standard_price_and_discount(
     promo_end: float = PROMO_END,
     small_move: float = SMALL_MOVE,
     price_col: str = "unit_price",
-    block_rows: int = 100_000,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add ``standard_price``, ``on_promotion`` and ``discount`` per product.
 
     ``daily`` should be a written table: it is read once for the block reports and once
     for the replay.
     """
+    block_rows = block_rows or BLOCK_ROWS
     limits = (promo_start, promo_end, small_move)
     product = daily.schema["gb_id"].dataType
     # plain integers travel to Python much faster than dates
@@ -296,13 +300,14 @@ def clean_discount(discount: Column, promo: Column, tolerance: float = 1e-6) ->
     return round_to(F.when(~promo | (F.abs(value) < tolerance), F.lit(0.0)).otherwise(value), 4)
 
 
-def rolling_top_price(daily: DataFrame, window: int = 30, top: int = 5, block_rows: int = 100_000) -> DataFrame:
+def rolling_top_price(daily: DataFrame, window: int = 30, top: int = 5, block_rows: int | None = None) -> DataFrame:
     """Mean of the ``top`` highest of the last ``window`` prices per product, by (date, store).
 
     A row frame over a hot product would be one task, so rows get their position in the
     product (day counts plus rank within the day) and windows run on position blocks that
     repeat the last ``window - 1`` rows of the block before.
     """
+    block_rows = max(block_rows or BLOCK_ROWS, window - 1)  # a halo comes from one block
     days = Window.partitionBy("gb_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     counts = daily.groupBy("gb_id", "date").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("gb_id", "date", F.coalesce(F.sum("n").over(days), F.lit(0)).alias("offset"))

@@ -90,7 +90,7 @@ def sales_coverage(df: DataFrame, store: str = "gln", date: str = "date", produc
     a hot store are counted on many tasks before its few distinct days and products meet.
     """
     if store not in df.columns or date not in df.columns:
-        raise ValueError(f"Expected columns '{store}' and '{date}'.")
+        raise ValueError(f"columns not found: {store}, {date}")
     facts = [
         F.min(date).alias("date_min"),
         F.max(date).alias("date_max"),
@@ -105,7 +105,7 @@ def sales_coverage(df: DataFrame, store: str = "gln", date: str = "date", produc
 def product_record_counts(df: DataFrame, store: str = "gln", product: str = "gb_id", date: str = "date") -> DataFrame:
     missing = [c for c in (store, product, date) if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns for product_record_counts: {missing}")
+        raise ValueError(f"columns not found: {missing}")
     return (
         df.groupBy(store, product)
         .agg(
@@ -199,7 +199,7 @@ def product_mix(
         first = F.lit(start_date).cast("date")
         chosen = sales.filter((F.col("date") >= first) & (F.col("date") < F.date_add(first, days)))
     else:
-        raise ValueError("Invalid time_unit. Use 'M' for monthly or 'D' with a valid start_date.")
+        raise ValueError("give time_unit M, or D with a start_date, or a month")
     return chosen.groupBy("gln", period.alias("period"), "gb_id").agg(F.sum("quantity").alias("quantity"))
 
 

@@ -153,7 +153,7 @@ def campaign_discount_consistency(
     """(all campaigns with the price-implied discount, those that disagree by more than ``tolerance``)."""
     missing = [c for c in ("standard_price", "campaign_price") if c not in campaign.columns]
     if missing:
-        raise ValueError(f"Missing required campaign columns: {missing}")
+        raise ValueError(f"campaign columns not found: {missing}")
     numeric = [c for c in ("standard_price", "campaign_price", "discount") if c in campaign.columns]
     compared = campaign.withColumns({c: F.col(c).cast("string").try_cast("double") for c in numeric})
     implied = -(F.lit(1.0) - F.try_divide(F.col("campaign_price"), F.nullif("standard_price", F.lit(0.0))))

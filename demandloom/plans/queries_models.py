@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.forecast import seasonal_regression, smoothing, tabular, trees
+from demandloom.forecast import naive, seasonal_regression, smoothing, tabular, trees
 from demandloom.operators import datasets, metrics
 from demandloom.plans import catalog
 from demandloom.plans.catalog import query
@@ -164,3 +164,16 @@ def direct_tabular(inputs: Inputs) -> DataFrame:
 @query("recursive_tabular", FORECAST)
 def recursive_tabular(inputs: Inputs) -> DataFrame:
     return tabular.recursive_tabular(_dense_stores(inputs), maxIter=5, maxDepth=4)
+
+
+@query("model_leaderboard", "model:string score:double")
+def model_leaderboard(inputs: Inputs) -> DataFrame:
+    """All series models on the last seven days of the store series, best first."""
+    models = {
+        "seasonal_naive": naive.seasonal_naive,
+        "ets": smoothing.ets_forecast,
+        "theta": smoothing.theta_forecast,
+        "direct_tabular": partial(tabular.direct_tabular, maxIter=4, maxDepth=3),
+        "recursive_tabular": partial(tabular.recursive_tabular, maxIter=5, maxDepth=4),
+    }
+    return naive.leaderboard(naive.holdout_predictions(_dense_stores(inputs), models))

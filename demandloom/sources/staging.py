@@ -41,15 +41,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast hint behind a row count; beyond the bound the join stays a shuffle join.
 
     For cheap inputs (dimension files, staged tables), because the count runs the plan.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    bound = BROADCAST_ROWS if max_rows is None else max_rows
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def stage_lookup(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def stage_lookup(df: DataFrame, label: str, max_rows: int | None = None) -> DataFrame:
     """Stage an aggregate of the facts and broadcast it when its size allows.
 
     Rows are counted while they are written, so the check costs no job. A retried task may
@@ -57,4 +58,5 @@ def stage_lookup(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> D
     """
     counter = Observation()
     staged = stage(df.observe(counter, F.count(F.lit(1)).alias("rows")), label)
-    return F.broadcast(staged) if counter.get["rows"] <= max_rows else staged
+    bound = BROADCAST_ROWS if max_rows is None else max_rows
+    return F.broadcast(staged) if counter.get["rows"] <= bound else staged

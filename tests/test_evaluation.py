@@ -123,7 +123,7 @@ def test_seasonal_regression_recovers_trend_and_falls_back(spark):
     unseen = table.filter("gln = 1").withColumn("gln", F.lit(77.0))
     assert seasonal_regression.predict_seasonal_regression(unseen, models).count() == 900
     only_stores = models.filter("model_key <> '__global__'")
-    with pytest.raises(Exception, match="No model found"):
+    with pytest.raises(Exception, match="no model for store"):
         seasonal_regression.predict_seasonal_regression(unseen, only_stores).collect()
 
 

@@ -220,7 +220,7 @@ def test_store_series_fills_gaps_and_checks_store_count(rows):
     out = datasets.store_series(store)
     assert [r[1:] for r in values(out, "date", "target", "discount")] == [(5.0, 0.1), (5.0, 0.1), (6.0, 0.3)]
     assert datasets.store_series(store, expected_series=1).count() == 3
-    with pytest.raises(Exception, match="Expected 11 stores"):
+    with pytest.raises(Exception, match="11 stores expected"):
         datasets.store_series(store, expected_series=11).collect()
 
 

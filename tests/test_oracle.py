@@ -45,3 +45,21 @@ def test_entry_has_rows(spark, monkeypatch, sf_dir):
     table = entry.entry(spark)
     assert {"gln", "gb_id", "date", "quantity", "rolling_mean"} <= set(table.columns)
     assert table.limit(1).count() == 1
+
+
+LARGE = ["sales_daily", "rolling_top5_price", "share_dataset", "target_encode_product", "forecast_quantiles", "wape_by_volume"]
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_plans_of_large_tables_give_the_same_rows(spark, duck, sf_dir, name, monkeypatch):
+    """Beyond the broadcast bound and with products cut into many blocks."""
+    from demandloom.operators import pricing
+    from demandloom.sources import staging
+
+    monkeypatch.setattr(staging, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(pricing, "BLOCK_ROWS", 40)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_query_matches_oracle(spark, duck, sf_dir, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
