@@ -139,20 +139,26 @@ def expanding_cv(
     table = stage(
         with_label(df, features, label).select("date", *features, "label").join(F.broadcast(folds), "date"), "cv"
     )
-    return _cv_scores(table, features, kind, metric, **params)
+    return _cv_scores(table, features, kind, metric, parallelism=4, **params)
 
 
-def _cv_scores(table: DataFrame, features: list[str], kind: str, metric: str, **params) -> DataFrame:
+def _cv_scores(
+    table: DataFrame, features: list[str], kind: str, metric: str, parallelism: int = 1, **params
+) -> DataFrame:
+    """Folds are independent jobs, submitted a few at a time."""
     last = table.agg(F.max("fold")).first()[0]
-    parts = []
-    for fold in range(1, last + 1):
+
+    def run(fold: int) -> tuple[int, float]:
         model = fit(table.filter(F.col("fold") < fold), features, "label", kind, **params)
         scored = score(model, table.filter(F.col("fold") == fold), "label")
         if metric == "weighted_mae":
             result = weighted_mae(scored).withColumnRenamed("weighted_mae", "score")
         else:
             result = error_metrics(scored).select(F.col(metric).alias("score"))
-        parts.append((fold, result.first()["score"]))
+        return fold, result.first()["score"]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(run, range(1, last + 1)))
     return table.sparkSession.createDataFrame(parts, "fold int, score double")
 
 
