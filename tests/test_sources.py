@@ -1,6 +1,5 @@
 import datetime as dt
 
-import pytest
 from conftest import values
 
 from demandloom import schemas
@@ -86,3 +85,15 @@ def test_job_contract(spark, rows):
     assert values(mismatch, "date", "standard_price") == [(dt.date(2024, 1, 2), 11.0)]
     _, _, extra = sales_daily.prepare_sales_data_with_diagnostics(sales, ean_map, campaign, periods, "10")
     assert set(extra) == {"sales_hourly", "price_dispersion", "suspicious_daily_prices"}
+
+
+def test_command_line_jobs(spark, tmp_path, capsys):
+    from demandloom import cli
+
+    data = [(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), 10 + i % 7, i % 7, i * 0.5) for i in range(60)]
+    table = spark.createDataFrame(data, "gln long, date date, quantity long, day_of_week_num int, odd double")
+    table.write.parquet(str(tmp_path / "t"))
+    cli.main(["audit", "--dataset", str(tmp_path / "t"), "--output", str(tmp_path / "audit")])
+    assert "odd" in capsys.readouterr().out and list((tmp_path / "audit").glob("*.csv"))
+    cli.main(["prune", "--dataset", str(tmp_path / "t"), "--top-k", "1"])
+    assert "pruned" in capsys.readouterr().out
