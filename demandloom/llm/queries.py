@@ -118,7 +118,7 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = pieces.Pieces.load()
     docs = table(spark, folder, "documents")
-    return pieces.round_trips(pieces.decode(pieces.encode(docs, model), model))
+    return pieces.round_trips(docs, model)
 
 
 @query
