@@ -13,10 +13,10 @@ weak signature than parts must agree, a partner shares another one. Which shingl
 comes from a bounded sample and affects only the work, never the links.
 
 Links. Signatures are partitioned by hash, and sets whose signature is alone go. Candidates are not
-all pairs of a bucket: each bucket proposes a star around its most connected member, stars are
-verified on the whole sets, and linked sets share a label. Buckets with one label are settled. The
-others get further stars, and what then still has several labels is compared pair by pair across
-labels, so no link between different components can be missed.
+all pairs of a bucket: every set is compared, on the whole sets, with the centre of its bucket, and
+linked sets share a label. Two sets of a bucket with different labels can still link. For them the
+differences from their common centre decide, which are short in a family of near copies: a prefix
+filter on these differences gives the few pairs to compare, again on whole sets, and no link is lost.
 
 Defined cases: null and empty texts have no set, link with nothing and are their own component;
 documents with fewer words than a shingle have the whole sequence as their only shingle; repeated
@@ -29,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.llm.common import LOWER_BYTES, broadcast_within, bytes_of, mix
@@ -37,12 +37,18 @@ from demandloom.llm.graph import components
 from demandloom.sources.staging import stage
 
 SHINGLE, PERCENT = 4, 85
-#: Parts beyond those needed, ratio of a band's sizes, star rounds before pairwise comparison.
-SLACK, BAND, STARS = 2, 1.4, 3
+#: Parts beyond those needed, ratio of a band's sizes.
+SLACK, BAND = 2, 1.4
 #: Bounded sample behind the common shingles: documents, and how many of them make a shingle common.
 SAMPLE_DOCS, COMMON = 20_000, 12
 #: Words and signatures that a task holds at a time.
-WORD_CACHE, HELD = 400_000, 1_500_000
+WORD_CACHE, HELD, ROWS_AT_ONCE = 400_000, 1_500_000, 128
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        return value
 
 
 class Shingler:
@@ -52,19 +58,13 @@ class Shingler:
 
     def __init__(self, size: int):
         self.size = size
-        self.known: dict[bytes, int] = {}
+        self.known = _WordHashes()
 
     def words(self, text: bytes) -> np.ndarray:
-        known = self.known
-        out = []
-        for word in text.translate(LOWER_BYTES).split():  # splits at \x20 and \x09 to \x0D
-            value = known.get(word)
-            if value is None:
-                if len(known) >= WORD_CACHE:
-                    known.clear()
-                value = known[word] = xxhash.xxh3_64_intdigest(word)
-            out.append(value)
-        return np.array(out, np.uint64)
+        if len(self.known) >= WORD_CACHE:
+            self.known.clear()
+        split = text.translate(LOWER_BYTES).split()  # at \x20 and \x09 to \x0D
+        return np.fromiter(map(self.known.__getitem__, split), np.int64, len(split)).view(np.uint64)
 
     def of(self, text: bytes) -> np.ndarray:
         words = self.words(text)
@@ -99,56 +99,43 @@ class Bands:
         return range(int(np.searchsorted(self.highs, size)), int(np.searchsorted(self.lows, size, side="right")))
 
 
-def signatures(shingles: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarray:
-    """Signatures of one set, as 64-bit integers."""
+def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a batch of sets, as 64-bit integers, and the number of each one's set."""
+    pairs = [(k, band) for k, s in enumerate(sets) for band in bands.of(len(s)) if bands.rows[band][2]]
+    if not pairs:  # bands whose largest difference is 0 hold equal sets only
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    member, band = np.array(pairs).T
+    lengths = np.array([len(sets[k]) for k in member])
+    n1 = np.array([bands.rows[b][3] for b in band])
+    agree = n1 - np.array([bands.rows[b][2] for b in band]) // 2  # parts that a partner agrees on, at least
+    first = np.cumsum(3 * n1) - 3 * n1
+    shingles = np.concatenate([sets[k] for k in member])
+    salt = mix(band.astype(np.uint64) + np.uint64(0x51ED270B7A1F3D05))
+    salted = mix(shingles ^ np.repeat(salt, lengths))
+    part = (salted % np.repeat(3 * n1, lengths).astype(np.uint64)).astype(np.int64) + np.repeat(first, lengths)
+    total = int(3 * n1.sum())
+    values = np.zeros(total, np.uint64)
+    np.add.at(values, part, mix(salted + np.uint64(0x632BE59BD9B4E019)))
+    values = values.reshape(-1, 3)
+    rare = np.ones(len(shingles), bool)
     if len(common):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        rare = (common[at] != shingles).astype(np.int64)
-    else:
-        rare = np.ones(len(shingles), np.int64)
-    out = []
-    for band in bands.of(len(shingles)):
-        _, _, k, n1 = bands.rows[band]
-        if k == 0:  # only equal sets are similar enough
-            continue
-        salted = mix(shingles ^ np.uint64(0x51ED270B7A1F3D05 * (band + 1) & 0xFFFFFFFFFFFFFFFF))
-        part = (salted % np.uint64(3 * n1)).astype(np.int64)
-        values = np.zeros(3 * n1, np.uint64)
-        np.add.at(values, part, mix(salted + np.uint64(0x632BE59BD9B4E019)))
-        strong = np.bincount(part, rare, 3 * n1).reshape(n1, 3)
-        values = values.reshape(n1, 3)
-        kept = values.sum(1, keepdims=True, dtype=np.uint64) - values  # of the two sub-parts other than j
-        weak = strong.sum(1, keepdims=True) - strong == 0
-        labels = np.uint64(band << 32) + np.arange(3 * n1, dtype=np.uint64).reshape(n1, 3)
-        found = mix(mix(kept + np.uint64(1)) + labels * np.uint64(0x9E3779B97F4A7C15))
-        if weak.any(1).sum() < n1 - k // 2:
-            found = found[~weak]
-        out.append(found.ravel())
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        rare = common[at] != shingles
+    strong = np.bincount(part[rare], minlength=total).reshape(-1, 3)
+    kept = values.sum(1, keepdims=True, dtype=np.uint64) - values  # of the two sub-parts other than j
+    weak = strong.sum(1, keepdims=True) - strong == 0
+    weak_parts = np.add.reduceat(weak.any(1), first // 3, dtype=np.int64)
+    row = np.arange(total).reshape(-1, 3) - np.repeat(first, n1)[:, None]
+    labels = row.astype(np.uint64) + np.repeat(salt, n1)[:, None]
+    found = mix(mix(kept + np.uint64(1)) + labels * np.uint64(0x9E3779B97F4A7C15))
+    send = ~weak | np.repeat(weak_parts >= agree, n1)[:, None]
+    owner = np.repeat(member, 3 * n1).reshape(-1, 3)
+    return found[send], owner[send]
 
 
 # --- jobs ---------------------------------------------------------------------------------------
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id) of every row; set_id is null for empty sets."""
-
-    def run(batches):
-        shingler = Shingler(size)
-        for batch in batches:
-            found = [shingler.of(t) for t in bytes_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in found], pa.int64()),
-                    pa.array([set_id(s) if len(s) else None for s in found], pa.int64()),
-                ],
-                names=["doc_id", "n_shingles", "set_id"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long")
-
-
 def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles of at least ``COMMON`` of ``SAMPLE_DOCS`` documents; a hint of bounded size."""
     order = F.xxhash64("doc_id")
@@ -193,19 +180,23 @@ def _shared_signatures(docs: DataFrame, size: int, percent: int, common) -> Data
         sigs, ids, held = [], [], 0
         seen: set[int] = set()  # equal sets of a task are sent once
         for batch in batches:
-            for text in bytes_of(batch.column(1)):
-                shingles = shingler.of(text)
-                owner = set_id(shingles) if len(shingles) else None
-                if owner is None or owner in seen:
-                    continue
-                if len(seen) >= WORD_CACHE:
-                    seen.clear()
-                seen.add(owner)
-                found = signatures(shingles, bands, frequent)
-                if len(found):
-                    sigs.append(found)
-                    ids.append(np.full(len(found), owner, np.int64))
-                    held += len(found)
+            texts = bytes_of(batch.column(1))
+            for start in range(0, len(texts), ROWS_AT_ONCE):
+                sets, owners = [], []
+                for text in texts[start : start + ROWS_AT_ONCE]:
+                    shingles = shingler.of(text)
+                    owner = set_id(shingles) if len(shingles) else None
+                    if owner is None or owner in seen:
+                        continue
+                    if len(seen) >= WORD_CACHE:
+                        seen.clear()
+                    seen.add(owner)
+                    sets.append(shingles)
+                    owners.append(owner)
+                found, number = signatures(sets, bands, frequent)
+                sigs.append(found)
+                ids.append(np.array(owners, np.int64)[number] if len(owners) else np.zeros(0, np.int64))
+                held += len(found)
                 if held >= HELD:
                     yield emit(sigs, ids)
                     sigs, ids, held = [], [], 0
@@ -238,31 +229,38 @@ def _shared_signatures(docs: DataFrame, size: int, percent: int, common) -> Data
     return blocks.repartition(parts, "bucket").mapInArrow(meet, "sig long, set_id long")
 
 
-def _members(docs: DataFrame, ids: DataFrame, n_ids: int, size: int) -> DataFrame:
-    """(set_id, shingles) of the sets in ``ids``, one row each."""
+def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, size: int) -> DataFrame:
+    """(doc_id, n_shingles, set_id, shingles) of every row.
+
+    ``set_id`` is null for empty sets; ``shingles`` is filled for the sets in ``ids``, at least once each.
+    """
 
     def run(batches):
         shingler = Shingler(size)
         seen: set[int] = set()
         for batch in batches:
-            keys, arrays = [], []
+            counts, keys, arrays = [], [], []
             for text in bytes_of(batch.column(1)):
                 shingles = shingler.of(text)
                 owner = set_id(shingles) if len(shingles) else None
-                if owner is not None and owner not in seen:
-                    if len(seen) >= WORD_CACHE:
-                        seen.clear()
-                    seen.add(owner)
-                    keys.append(owner)
-                    arrays.append(shingles.view(np.int64))
+                counts.append(len(shingles))
+                keys.append(owner)
+                arrays.append(shingles.view(np.int64) if owner not in seen else np.zeros(0, np.int64))
+                if len(seen) >= WORD_CACHE:
+                    seen.clear()
+                seen.add(owner)
             offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *arrays])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], names=["set_id", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), lists],
+                names=["doc_id", "n_shingles", "set_id", "shingles"],
+            )
 
-    every = docs.mapInArrow(run, "set_id long, shingles array<long>")
-    wanted = every.join(broadcast_within(ids, n_ids, 32), "set_id", "left_semi")
-    return wanted.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    every = docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, shingles array<long>")
+    wanted = broadcast_within(ids.withColumn("wanted", F.lit(True)), n_ids, 32)
+    filled = F.when(F.col("wanted") & (F.size("shingles") > 0), F.col("shingles"))
+    return every.join(wanted, "set_id", "left").select("doc_id", "n_shingles", "set_id", filled.alias("shingles"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,56 +273,102 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("both") >= percent * union).select("a", "b")
 
 
-def links(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame | None:
-    """(node, label): sets that link with others, and their component; None if there are none."""
-    spark: SparkSession = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(docs, size))
-    shared = stage(_shared_signatures(docs, size, percent, common), "signatures")
-    sizes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.max("n_shingles").alias("n"))
-    ids = stage(shared.select("set_id").distinct().join(sizes, "set_id"), "candidates")
-    n_ids = ids.count()
-    if not n_ids:
-        return None
-    members = stage(_members(docs, ids, n_ids, size), "members")
+def _spokes(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Every set of a bucket beside the bucket's centre, the set that shares most with others.
+
+    (p, np, x, nx, linked, m, head): ``m`` shingles are in one of x and p only; ``head`` is the first
+    of them, those of x by hash, then those of p by hash, as many as a prefix can need.
+    """
+    centre = rows.groupBy("sig").agg(F.max(F.struct("score", "set_id"))["set_id"].alias("p"))
+    pairs = rows.join(centre, "sig").where("p != set_id").select("p", F.col("set_id").alias("x")).distinct()
+    left = members.select(F.col("set_id").alias("x"), F.col("shingles").alias("sx"))
+    right = members.select(F.col("set_id").alias("p"), F.col("shingles").alias("sp"))
+    met = pairs.join(left, "x").join(right, "p").withColumns({"nx": F.size("sx"), "np": F.size("sp")})
+    met = met.withColumns({"own": F.array_except("sx", "sp"), "other": F.array_except("sp", "sx")})
+    met = met.withColumn("both", F.col("nx") - F.size("own"))
+    linked = 100 * F.col("both") >= percent * (F.col("nx") + F.col("np") - F.col("both"))
+    head = F.slice(F.concat("own", "other"), 1, _most(F.col("nx"), percent) + 1)
+    return met.select("p", "np", "x", "nx", linked.alias("linked"), (F.size("own") + F.size("other")).alias("m"), head.alias("head"))
+
+
+def _most(n, percent: int):
+    """The largest difference between a set of size ``n`` and any set similar enough."""
+    return F.floor((n + n * 100 / percent) * (100 - percent) / (100 + percent) + 1e-6).cast("int")
+
+
+def _pairs(spokes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) with different labels that may still link, found around their common centre.
+
+    If x and y differ in at most K shingles, their differences from p, of sizes m and l, have at least
+    (m + l - K) / 2 shingles in common. So the first m - (m + l - K) / 2 + 1 of one and as many of the
+    other, in the one order, share a shingle: only such prefixes are joined, one for each class of l.
+    Two sets linked to p have one label already; so a linked set only looks for unlinked ones.
+    """
+    most = _most(F.col("nx"), percent)
+    width = F.greatest(F.lit(4), F.floor(_most(F.col("np"), percent) / 2)).cast("int")
+    unlinked_least = F.floor((percent * F.col("nx") / 100 + F.col("np")) * (100 - percent) / (100 + percent) - 1e-6) + 1
+    low = F.greatest(F.col("m") - F.col("most"), F.when(F.col("linked"), unlinked_least).otherwise(0), F.lit(0)).cast("int")
+    sized = spokes.withColumns({"most": most, "width": width}).withColumn("low", low).where("low <= m + most")
+    class_of = lambda c: F.floor(c / F.col("width")).cast("int")
+    spread = sized.withColumn("own", class_of(F.col("m"))).withColumn(
+        "c", F.explode(F.sequence(class_of(F.col("low")), class_of(F.col("m") + F.col("most"))))
+    )
+    least = F.greatest(F.col("c") * F.col("width"), F.col("m") - F.col("most"))
+    common = F.ceil((F.col("m") + least - F.col("most")) / 2).cast("int")
+    prefix = F.when(common >= 1, F.slice("head", 1, F.greatest(F.lit(0), F.col("m") - common + 1))).otherwise(
+        F.concat("head", F.array(F.lit(None).cast("long")))  # nothing need be in common: they meet at null
+    )
+    rows = spread.select("p", "x", "nx", "label", "own", "c", F.explode(prefix).alias("s"))
+    rows = rows.select(
+        F.xxhash64("p", F.coalesce("s", F.lit(0)), F.least("own", "c"), F.greatest("own", "c")).alias("key"),
+        (F.signum(F.col("own") - F.col("c")) + 1).cast("int").alias("side"),
+        "x",
+        "nx",
+        "label",
+    )
+    rows = stage(rows, "prefixes")
+    several = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
+    rows = rows.join(several, "key")
+    left = rows.where("side <= 1").select("key", (F.col("side") == 1).alias("same"), F.col("x").alias("a"), F.col("nx").alias("na"), F.col("label").alias("la"))
+    right = rows.where("side >= 1").select("key", (F.col("side") == 1).alias("same"), F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("label").alias("lb"))
+    met = left.join(right, ["key", "same"]).where("la != lb AND (NOT same OR a < b)")
+    met = met.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(shared: DataFrame, ids: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the sets in ``ids``: the smallest set of the component."""
     # how much each set shares with others: the centre of a family of near copies scores highest
     weight = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("w"))
     score = shared.join(weight, "sig").groupBy("set_id").agg(F.sum("w").alias("score"))
-    rows = stage(shared.join(ids.join(score, "set_id"), "set_id"), "bucket-rows")  # sig, set_id, n, score
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    tested = found = None
-    labels = ids.select(F.col("set_id").alias("node"), F.col("set_id").alias("label"))
-    for turn in range(STARS + 1):
-        named = rows.join(labels.withColumnRenamed("node", "set_id"), "set_id")
-        split = named.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("sig")
-        rows_left = stage(named.join(split, "sig"), "open-buckets")  # sig, set_id, n, score, label
-        left = rows_left.select(F.col("sig"), F.col("set_id").alias("x"), F.col("n").alias("na"), F.col("label").alias("la"))
-        if turn < STARS:
-            rank = F.struct(F.col("score") if turn == 0 else F.xxhash64("set_id", F.lit(turn)), F.col("set_id"))
-            centre = rows_left.groupBy("sig").agg(F.max(F.struct(rank, "n", "label")).alias("c"))
-            right = centre.select("sig", F.col("c.col1.set_id").alias("y"), F.col("c.n").alias("nb"), F.col("c.label").alias("lb"))
-        else:
-            right = rows_left.select(F.col("sig"), F.col("set_id").alias("y"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = left.join(right, "sig").where((F.col("la") != F.col("lb")) & fits)
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        fresh = stage(_linked(pairs, members, percent), "links")
-        found = fresh if found is None else found.union(fresh)
-        if fresh.isEmpty():
-            continue
-        grouped = components(found)
-        rest = ids.select(F.col("set_id").alias("node")).join(grouped, "node", "left")
-        labels = stage(rest.select("node", F.coalesce("label", "node").alias("label")), "labels")
-    return labels
+    rows = shared.join(score, "set_id")
+    spokes = stage(_spokes(rows, members, percent), "spokes")
+    found = spokes.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+    every = ids.select(F.col("set_id").alias("node"))
+
+    def labelled(grouped: DataFrame) -> DataFrame:
+        return stage(every.join(grouped, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+    labels = labelled(components(found))
+    named = spokes.join(labels.withColumnRenamed("node", "x"), "x")
+    open_groups = named.groupBy("p").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("p")
+    pairs = stage(_pairs(named.join(open_groups, "p"), percent), "pairs")
+    fresh = stage(_linked(pairs, members, percent), "links")
+    return labels if fresh.isEmpty() else labelled(components(found.union(fresh)))
 
 
 def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stage(_sets(docs, size), "sets")
-    labels = links(docs, sets, size, percent)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
+    shared = stage(_shared_signatures(docs, size, percent, common), "signatures")
+    ids = stage(shared.select("set_id").distinct(), "candidates")
+    n_ids = ids.count()
+    sets = stage(_sets(docs, ids, n_ids, size), "sets")
+    labels = None
+    if n_ids:
+        members = sets.where("shingles IS NOT NULL").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+        labels = links(shared, ids, stage(members, "members"), percent)
     classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     if labels is not None:
         named = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
