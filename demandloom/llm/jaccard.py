@@ -153,32 +153,84 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(most.astype(np.int64).view(np.uint64))
 
 
-def _shared_signatures(docs: DataFrame, size: int, percent: int, common) -> DataFrame:
-    """(sig, set_id): signatures that at least two different sets have.
+def _emit(keys: np.ndarray, owners: np.ndarray, tags: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Blocks of (key, owner, tag) by hash bucket; one row holds thousands of them.
 
-    Tasks cut their signatures into blocks by hash, so one row carries thousands of them; a block is
-    48 bits of each signature and the set's id. A clash of two signatures only adds a candidate.
+    A key that already has two owners here is settled: its entries travel as found, and one of them
+    also as an entry, for others to meet. So a key arrives at most once per block, however hot it is.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts
+    order = np.lexsort((tags, owners, keys))
+    keys, owners, tags = keys[order], owners[order], tags[order]
+    fresh = np.r_[True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]) | (tags[1:] != tags[:-1])]
+    keys, owners, tags = keys[fresh], owners[fresh], tags[fresh]
+    start = np.r_[True, keys[1:] != keys[:-1]]
+    group = np.cumsum(start) - 1
+    lowest, highest = owners[start], owners[np.r_[np.flatnonzero(start)[1:], len(keys)] - 1]
+    settled = (lowest != highest)[group]
+    state = np.where(settled, np.where(start, 2, 1), 0).astype(np.uint8)  # 0 entry, 1 found, 2 both
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    low = (keys[order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+    owners, marks = owners[order], (state * 4 + tags.astype(np.uint8))[order]
+    rows = [
+        (k, low[a:z].tobytes() + owners[a:z].tobytes() + marks[a:z].tobytes())
+        for k, (a, z) in enumerate(zip(cuts, cuts[1:]))
+        if z > a
+    ]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], names=["bucket", "block"]
+    )
 
-    def emit(sigs: list[np.ndarray], ids: list[np.ndarray]):
-        sig, owner = np.concatenate(sigs), np.concatenate(ids)
-        bucket = (sig % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        low = (sig[order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-        owner = owner[order]
-        rows = [(b, low[a:z].tobytes() + owner[a:z].tobytes()) for b, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], names=["bucket", "block"]
-        )
+
+def _meet(blocks: DataFrame, parts: int, buckets: int) -> DataFrame:
+    """(sig, set_id, tag) of the keys that at least two owners have.
+
+    48 bits of a key travel beside its bucket; a clash of two keys only adds candidates.
+    """
+
+    def meet(batches):
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(bucket, []).append(block)
+        while held:
+            bucket, rows = held.popitem()
+            sizes = [len(r) // 15 for r in rows]
+            wide = np.zeros((sum(sizes), 8), np.uint8)
+            wide[:, :6] = np.concatenate([np.frombuffer(r, np.uint8, 6 * n).reshape(n, 6) for r, n in zip(rows, sizes)])
+            key = wide.view(np.int64).ravel()
+            owner = np.concatenate([np.frombuffer(r, np.int64, n, 6 * n) for r, n in zip(rows, sizes)])
+            mark = np.concatenate([np.frombuffer(r, np.uint8, n, 14 * n) for r, n in zip(rows, sizes)])
+            order = np.lexsort((mark & 3, owner, key))
+            key, owner, mark = key[order], owner[order], mark[order]
+            start = np.r_[True, key[1:] != key[:-1]]
+            ends = np.r_[np.flatnonzero(start)[1:], len(key)] - 1
+            several = (owner[start] != owner[ends])[np.cumsum(start) - 1]
+            keep = several | (mark >= 4)
+            keep &= np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | ((mark & 3)[1:] != (mark & 3)[:-1])] | (mark >= 4)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[keep] * buckets + bucket), pa.array(owner[keep]), pa.array((mark[keep] & 3).astype(np.int32))],
+                names=["sig", "set_id", "tag"],
+            )
+
+    return blocks.repartition(parts, "bucket").mapInArrow(meet, "sig long, set_id long, tag int").distinct()
+
+
+def _shared_signatures(docs: DataFrame, size: int, percent: int, common) -> DataFrame:
+    """(sig, set_id): signatures that at least two different sets have."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * parts
 
     def cut(batches):
         shingler, bands, frequent = Shingler(size), Bands(percent), common.value
         sigs, ids, held = [], [], 0
         seen: set[int] = set()  # equal sets of a task are sent once
+
+        def emit():
+            sig, owner = np.concatenate(sigs), np.concatenate(ids)
+            return _emit(sig, owner, np.zeros(len(sig), np.uint8), buckets)
+
         for batch in batches:
             texts = bytes_of(batch.column(1))
             for start in range(0, len(texts), ROWS_AT_ONCE):
@@ -194,39 +246,19 @@ def _shared_signatures(docs: DataFrame, size: int, percent: int, common) -> Data
                     sets.append(shingles)
                     owners.append(owner)
                 found, number = signatures(sets, bands, frequent)
+                if not len(found):
+                    continue
                 sigs.append(found)
-                ids.append(np.array(owners, np.int64)[number] if len(owners) else np.zeros(0, np.int64))
+                ids.append(np.array(owners, np.int64)[number])
                 held += len(found)
                 if held >= HELD:
-                    yield emit(sigs, ids)
+                    yield emit()
                     sigs, ids, held = [], [], 0
         if held:
-            yield emit(sigs, ids)
-
-    def meet(batches):
-        blocks: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                blocks.setdefault(bucket, []).append(block)
-        while blocks:
-            bucket, rows = blocks.popitem()
-            sizes = [len(r) // 14 for r in rows]
-            sig = np.zeros((sum(sizes), 8), np.uint8)
-            sig[:, :6] = np.concatenate([np.frombuffer(r, np.uint8, 6 * n).reshape(n, 6) for r, n in zip(rows, sizes)])
-            sig = sig.view(np.int64).ravel()
-            owner = np.concatenate([np.frombuffer(r, np.int64, n, 6 * n) for r, n in zip(rows, sizes)])
-            order = np.lexsort((owner, sig))
-            sig, owner = sig[order], owner[order]
-            fresh = np.r_[True, (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])]
-            sig, owner = sig[fresh], owner[fresh]
-            twin = sig[1:] == sig[:-1]
-            keep = np.r_[twin, False] | np.r_[False, twin]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[keep] * buckets + bucket), pa.array(owner[keep])], names=["sig", "set_id"]
-            )
+            yield emit()
 
     blocks = docs.mapInArrow(cut, "bucket int, block binary")
-    return blocks.repartition(parts, "bucket").mapInArrow(meet, "sig long, set_id long")
+    return _meet(blocks, parts, buckets).select("sig", "set_id")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, size: int) -> DataFrame:
@@ -296,44 +328,75 @@ def _most(n, percent: int):
     return F.floor((n + n * 100 / percent) * (100 - percent) / (100 + percent) + 1e-6).cast("int")
 
 
-def _pairs(spokes: DataFrame, percent: int) -> DataFrame:
+def _prefix_keys(spokes: DataFrame, percent: int, parts: int, buckets: int) -> DataFrame:
+    """Blocks of the prefixes of the differences, see ``_pairs``."""
+
+    def cut(batches):
+        keys, owners, tags, held = [], [], [], 0
+        for batch in batches:
+            for p, n_p, x, n_x, linked, m, head in zip(*(c.to_pylist() for c in batch.columns)):
+                most = _most_of(n_x, percent)
+                near = _most_of(n_p, percent)
+
+                def class_of(size: int, near: int = near) -> int:
+                    width = max(4, near // 2)
+                    edge = 2 * near // width + 1
+                    return size // width if size < edge * width else edge + (size - edge * width) // max(4, 4 * near)
+
+                def least_of(number: int, near: int = near) -> int:
+                    width = max(4, near // 2)
+                    edge = 2 * near // width + 1
+                    return number * width if number < edge else edge * width + (number - edge) * max(4, 4 * near)
+
+                unlinked = (percent * n_x + 100 * n_p) * (100 - percent) // (100 * (100 + percent)) + 1
+                low = max(0, m - most, unlinked if linked else 0)
+                own = class_of(m)
+                shingles = np.array(head, np.int64).view(np.uint64)
+                for c in range(class_of(low), class_of(m + most) + 1) if low <= m + most else ():
+                    least = max(least_of(c), low)
+                    common = -(-(m + least - most) // 2)
+                    prefix = shingles[: max(0, m - common + 1)]
+                    if common < 1:  # nothing need be in common: such sets meet at 0
+                        prefix = np.r_[prefix, np.zeros(1, np.uint64)]
+                    salt = mix(np.array([p, min(own, c), max(own, c)], np.int64).view(np.uint64) + np.arange(3, dtype=np.uint64))
+                    keys.append(mix(mix(prefix + salt[0]) + salt[1] * np.uint64(3) + salt[2] * np.uint64(5)))
+                    owners.append(np.full(len(prefix), x, np.int64))
+                    tags.append(np.full(len(prefix), 0 if own < c else 1 if own == c else 2, np.uint8))
+                    held += len(prefix)
+                if held >= HELD:
+                    yield _emit(np.concatenate(keys), np.concatenate(owners), np.concatenate(tags), buckets)
+                    keys, owners, tags, held = [], [], [], 0
+        if held:
+            yield _emit(np.concatenate(keys), np.concatenate(owners), np.concatenate(tags), buckets)
+
+    return spokes.select("p", "np", "x", "nx", "linked", "m", "head").mapInArrow(cut, "bucket int, block binary")
+
+
+def _most_of(n: int, percent: int) -> int:
+    """The largest difference between a set of size n and any set similar enough (as ``_most``)."""
+    return int((n + n * 100 / percent) * (100 - percent) / (100 + percent) + 1e-6)
+
+
+def _pairs(spokes: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) with different labels that may still link, found around their common centre.
 
     If x and y differ in at most K shingles, their differences from p, of sizes m and l, have at least
     (m + l - K) / 2 shingles in common. So the first m - (m + l - K) / 2 + 1 of one and as many of the
-    other, in the one order, share a shingle: only such prefixes are joined, one for each class of l.
-    Two sets linked to p have one label already; so a linked set only looks for unlinked ones.
+    other, in the one order, share a shingle: only such prefixes meet, one for each class of l. Two
+    sets linked to p have one label already; so a linked set only looks for unlinked ones.
+
+    ``named``: (set_id, n, label).
     """
-    most = _most(F.col("nx"), percent)
-    width = F.greatest(F.lit(4), F.floor(_most(F.col("np"), percent) / 2)).cast("int")
-    unlinked_least = F.floor((percent * F.col("nx") / 100 + F.col("np")) * (100 - percent) / (100 + percent) - 1e-6) + 1
-    low = F.greatest(F.col("m") - F.col("most"), F.when(F.col("linked"), unlinked_least).otherwise(0), F.lit(0)).cast("int")
-    sized = spokes.withColumns({"most": most, "width": width}).withColumn("low", low).where("low <= m + most")
-    class_of = lambda c: F.floor(c / F.col("width")).cast("int")
-    spread = sized.withColumn("own", class_of(F.col("m"))).withColumn(
-        "c", F.explode(F.sequence(class_of(F.col("low")), class_of(F.col("m") + F.col("most"))))
-    )
-    least = F.greatest(F.col("c") * F.col("width"), F.col("m") - F.col("most"))
-    common = F.ceil((F.col("m") + least - F.col("most")) / 2).cast("int")
-    prefix = F.when(common >= 1, F.slice("head", 1, F.greatest(F.lit(0), F.col("m") - common + 1))).otherwise(
-        F.concat("head", F.array(F.lit(None).cast("long")))  # nothing need be in common: they meet at null
-    )
-    rows = spread.select("p", "x", "nx", "label", "own", "c", F.explode(prefix).alias("s"))
-    rows = rows.select(
-        F.xxhash64("p", F.coalesce("s", F.lit(0)), F.least("own", "c"), F.greatest("own", "c")).alias("key"),
-        (F.signum(F.col("own") - F.col("c")) + 1).cast("int").alias("side"),
-        "x",
-        "nx",
-        "label",
-    )
-    rows = stage(rows, "prefixes")
-    several = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-    rows = rows.join(several, "key")
-    left = rows.where("side <= 1").select("key", (F.col("side") == 1).alias("same"), F.col("x").alias("a"), F.col("nx").alias("na"), F.col("label").alias("la"))
-    right = rows.where("side >= 1").select("key", (F.col("side") == 1).alias("same"), F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("label").alias("lb"))
-    met = left.join(right, ["key", "same"]).where("la != lb AND (NOT same OR a < b)")
-    met = met.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    parts = int(spokes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = stage(_meet(_prefix_keys(spokes, percent, parts, 2 * parts), parts, 2 * parts), "prefixes").join(named, "set_id")
+    several = met.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("sig")
+    rows = met.join(several, "sig")
+    same = (F.col("tag") == 1).alias("same")
+    left = rows.where("tag <= 1").select("sig", same, F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = rows.where("tag >= 1").select("sig", same, F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    pairs = left.join(right, ["sig", "same"]).where("la != lb AND (NOT same OR a < b)")
+    pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(shared: DataFrame, ids: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -352,7 +415,9 @@ def links(shared: DataFrame, ids: DataFrame, members: DataFrame, percent: int) -
     labels = labelled(components(found))
     named = spokes.join(labels.withColumnRenamed("node", "x"), "x")
     open_groups = named.groupBy("p").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("p")
-    pairs = stage(_pairs(named.join(open_groups, "p"), percent), "pairs")
+    sizes = members.select("set_id", F.size("shingles").alias("n"))
+    by_set = sizes.join(labels.withColumnRenamed("node", "set_id"), "set_id")
+    pairs = stage(_pairs(named.join(open_groups, "p"), by_set, percent), "pairs")
     fresh = stage(_linked(pairs, members, percent), "links")
     return labels if fresh.isEmpty() else labelled(components(found.union(fresh)))
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import chat, decontamination, jaccard, lengths, pieces, secrets, topk, toxicity
+from demandloom.llm import chat, decontamination, html_text, jaccard, lengths, pieces, secrets, suffixes, topk, toxicity
 from demandloom.llm.common import table
+from demandloom.sources.staging import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +40,8 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return lengths.context_limits(lengths.histogram(lengths.token_counts(table(spark, folder, "documents"))))
+    counts = lengths.token_counts(table(spark, folder, "documents"))
+    return lengths.context_limits(stage(lengths.histogram(counts), "lengths"))
 
 
 @query
@@ -124,3 +126,13 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages"))
