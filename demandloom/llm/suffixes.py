@@ -3,9 +3,9 @@
 The rule: a byte goes if a 50-byte string over it also starts in a document with a smaller id.
 
 A run-length index of the whole corpus would be one structure in one task. Here it is cut by content.
-Every 50-byte string contains its smallest 16-byte gram by hash (its anchor), so two equal strings
+Every 50-byte string contains its smallest 20-byte gram by hash (its anchor), so two equal strings
 share an anchor. Anchors that only one document has are dropped. Around each shared anchor a context
-of at most 84 bytes holds all strings with that anchor; contexts meet by anchor. There the 50-byte
+of at most 80 bytes holds all strings with that anchor; contexts meet by anchor. There the 50-byte
 strings of all contexts are sorted, equal ones form runs, and the run's head keeps the smallest
 document as its sample. Each context is then streamed against the runs: where the sample is a smaller
 document, the string is a match of length 50 or more, and its bytes are covered. Strings are compared
@@ -31,16 +31,18 @@ from pyspark.sql import functions as F
 from demandloom.llm.common import broadcast_within, bytes_of, mix
 from demandloom.sources.staging import stage
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1  # grams of a string
 CONTEXT = 2 * LENGTH - GRAM  # bytes around an anchor: every string that holds it
 #: Anchors and contexts that a task holds before it sends them, and texts it remembers.
-HELD, HELD_CONTEXTS, SEEN = 1_000_000, 100_000, 200_000
+HELD, HELD_CONTEXTS, SEEN = 1_000_000, 40_000, 100_000
 
 
 def gram_hashes(text: bytes) -> np.ndarray:
     words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
-    return mix(words[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(words[8:] + np.uint64(0xC2B2AE3D27D4EB4F)))
+    count = len(text) - GRAM + 1
+    first, second, last = words[:count], words[8 : 8 + count], words[GRAM - 8 :]
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + mix(second * np.uint64(0x165667B19E3779F9) + mix(last + np.uint64(0xC2B2AE3D27D4EB4F))))
 
 
 def _sliding(values: np.ndarray, width: int, least) -> np.ndarray:
@@ -68,11 +70,18 @@ def _lists(column: str) -> str:
 
 
 def _blocks(bucket: np.ndarray, buckets: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """One row per bucket: the bytes of its part of each column, one column after the other."""
+    """One row per bucket: the bytes of its part of each column, one column after the other.
+
+    Numbers are written byte plane by byte plane; planes of leading zeros compress to nothing.
+    """
+
+    def packed(part: np.ndarray) -> bytes:
+        return part.tobytes() if part.ndim > 1 else np.ascontiguousarray(part.view(np.uint8).reshape(len(part), -1).T).tobytes()
+
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     columns = [np.ascontiguousarray(c[order]) for c in columns]
-    rows = [(k, b"".join(c[a:z].tobytes() for c in columns)) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+    rows = [(k, b"".join(packed(c[a:z]) for c in columns)) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
     return pa.RecordBatch.from_arrays(
         [pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], names=["bucket", "block"]
     )
@@ -85,9 +94,10 @@ def _columns(blocks: list[bytes], widths: list[tuple[str, int]]) -> list[np.ndar
     for block in blocks:
         rows, at = len(block) // size, 0
         for part, (dtype, n) in zip(out, widths):
-            values = np.frombuffer(block, dtype, rows * n, at)
-            part.append(values.reshape(rows, n) if n > 1 else values)
-            at += rows * n * np.dtype(dtype).itemsize
+            width = n * np.dtype(dtype).itemsize
+            raw = np.frombuffer(block, np.uint8, rows * width, at)
+            part.append(raw.reshape(rows, n) if n > 1 else np.ascontiguousarray(raw.reshape(width, rows).T).view(dtype).ravel())
+            at += rows * width
     return [np.concatenate(c) for c in out]
 
 
@@ -129,7 +139,7 @@ def _shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
             last = np.r_[np.flatnonzero(start)[1:], len(key)] - 1
             settled = (doc[start] != doc[last])[group]  # two documents of this block have it
             state = np.where(settled, np.where(start, 2, 1), 0).astype(np.uint8)  # 0 entry, 1 found, 2 both
-            return _blocks((key % np.uint64(buckets)).astype(np.int64), buckets, [key, doc, pos.astype(np.int32), state])
+            return _blocks((key % np.uint64(buckets)).astype(np.int64), buckets, [key >> np.uint64(16), doc, pos.astype(np.int32), state])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
@@ -179,8 +189,10 @@ def _covered(joined: DataFrame, parts: int) -> DataFrame:
 
     ``joined``: (doc_id, name, text, positions of shared anchors).
     """
-    buckets = 2 * parts
-    widths = [("<i8", 1), ("<i8", 1), ("<i4", 1), ("u1", 1), ("u1", 1), ("u1", CONTEXT), ("u1", 1)]
+    buckets = 8 * parts
+    widths = [("<i8", 1), ("<i8", 1), ("<i4", 1), ("u1", 1), ("u1", 1), ("u1", CONTEXT)]
+    settled = [("<i8", 1), ("<i8", 1), ("<i4", 1), ("u1", 1), ("u1", 1)]
+    powers = np.array([pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(CONTEXT)], np.uint64)
     reach = LENGTH - GRAM
 
     def cut(batches):
@@ -190,7 +202,7 @@ def _covered(joined: DataFrame, parts: int) -> DataFrame:
         def emit():
             doc, name, pos, key, text, left, size = (np.concatenate([h[i] for h in held]) for i in range(7))
             # equal contexts of a block: the smallest document's is sent, the others are covered whole
-            alike = mix(window_hashes(np.pad(text, ((0, 0), (0, LENGTH))))[:, :: LENGTH - GRAM].sum(1, dtype=np.uint64) + left.astype(np.uint64) * np.uint64(256) + size)
+            alike = text.astype(np.uint64) @ powers + left.astype(np.uint64) * np.uint64(256) + size
             rows = np.ascontiguousarray(text).view(f"V{CONTEXT}").ravel()
             order = np.lexsort((doc, alike))
             same = np.zeros(len(order), bool)
@@ -198,10 +210,12 @@ def _covered(joined: DataFrame, parts: int) -> DataFrame:
             same[1:] &= (left[order][1:] == left[order][:-1]) & (size[order][1:] == size[order][:-1])
             group = np.cumsum(~same) - 1
             head_doc = doc[order][~same][group]
-            whole = np.zeros(len(order), np.uint8)
+            whole = np.zeros(len(order), bool)
             whole[order] = same & (head_doc < doc[order])
             bucket = (key % np.uint64(buckets)).astype(np.int64)
-            return _blocks(bucket, buckets, [doc, name, pos, left, size, text, whole])
+            yield _blocks(bucket[~whole], buckets, [c[~whole] for c in (doc, name, pos, left, size, text)])
+            if whole.any():  # settled ones go without their bytes, to buckets of their own
+                yield _blocks(bucket[whole] + buckets, 2 * buckets, [c[whole] for c in (doc, name, pos, left, size)])
 
         for batch in batches:
             docs, names, positions = (batch.column(i).to_pylist() for i in (0, 1, 3))
@@ -218,25 +232,25 @@ def _covered(joined: DataFrame, parts: int) -> DataFrame:
                 held.append((full, np.full(len(at), name, np.int64), (at - reach).astype(np.int32), gram_hashes(text)[at], rows, left.astype(np.uint8), size.astype(np.uint8)))
                 count += len(at)
                 if count >= HELD_CONTEXTS:
-                    yield emit()
+                    yield from emit()
                     held, count = [], 0
         if count:
-            yield emit()
+            yield from emit()
 
     def meet(batches):
-        for _, blocks in _by_bucket(batches):
-            doc, name, pos, left, size, text, whole = _columns(blocks, widths)
-            offset = np.arange(WINDOW)
+        offset = np.arange(WINDOW)
+        for bucket, blocks in _by_bucket(batches):
+            doc, name, pos, left, size, *text = _columns(blocks, widths if bucket < buckets else settled)
             valid = (offset >= left[:, None]) & (offset + LENGTH <= size[:, None])
-            hashes = window_hashes(text)
-            gone = valid & (whole[:, None] > 0)
-            row, at = np.nonzero(valid & (whole[:, None] == 0))
-            strings, owner = hashes[row, at], doc[row]
-            order = np.lexsort((owner, strings))
-            start = _heads(strings[order])
-            sample = owner[order][start]  # the smallest document, at the head of each run
-            covered = sample[np.cumsum(start) - 1] < owner[order]
-            gone[row[order][covered], at[order][covered]] = True
+            gone = valid.copy()
+            if text:
+                row, at = np.nonzero(valid)
+                strings, owner = window_hashes(text[0])[row, at], doc[row]
+                order = np.lexsort((owner, strings))
+                start = _heads(strings[order])
+                sample = owner[order][start]  # the smallest document, at the head of each run
+                covered = sample[np.cumsum(start) - 1] < owner[order]
+                gone[row[order], at[order]] = covered
             bits = (gone.astype(np.int64) << offset).sum(1)
             keep = bits != 0
             yield pa.RecordBatch.from_arrays(
@@ -279,7 +293,7 @@ def _with_text(named: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     ids = stage(rows.select("doc_id").distinct(), "affected")
     few = named.join(broadcast_within(ids, ids.count(), 32), "doc_id", "left_semi").where(F.octet_length("text") >= LENGTH)
     keys = [c for c in ("doc_id", "name") if c in rows.columns]
-    return few.dropDuplicates(["doc_id", "name"]).join(rows, keys).select("doc_id", "name", "text", column)
+    return few.join(rows, keys).select("doc_id", "name", "text", column)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -304,7 +318,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     places = places.join(ours, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("positions"))
     covered = stage(_covered(_with_text(named, stage(places, "places"), "positions"), parts), "covered")
     found = covered.groupBy("doc_id", "name").agg(F.collect_list(F.struct("pos", "strings")).alias("found"))
-    cut = _cut_out(_with_text(named, stage(found, "found"), "found"))
+    cut = _cut_out(_with_text(named, stage(found, "found"), "found")).dropDuplicates(["doc_id", "name"])
     nothing = hashlib.sha256(b"").hexdigest()
     rows = plain.join(first, "sha256", "left").join(cut, ["doc_id", "name"], "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
