@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,3 +59,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 def broadcast_within(df: DataFrame, rows: int, row_bytes: int, most: int | None = None) -> DataFrame:
     """Broadcast hint if ``rows * row_bytes`` is within the bound; otherwise a shuffle join."""
     return F.broadcast(df) if rows * row_bytes <= (BROADCAST_BYTES if most is None else most) else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written.
+
+    The context cleaner removes them once the driver has collected the finished plans, which a driver
+    with little garbage does late; the shuffles of several steps would stand on the disks together.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

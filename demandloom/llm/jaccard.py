@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import LOWER_BYTES, broadcast_within, bytes_of, mix
+from demandloom.llm.common import LOWER_BYTES, broadcast_within, bytes_of, mix, release
 from demandloom.llm.graph import components
 from demandloom.sources.staging import stage
 
@@ -146,6 +146,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
         shingler = Shingler(size)
         held = [np.concatenate([np.zeros(0, np.uint64), *(shingler.of(t) for t in bytes_of(b.column(1)))]) for b in batches]
         values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        values, counts = values[counts > 1], counts[counts > 1]  # a common one is met twice in some task
         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["s", "n"])
 
     counted = sample.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
@@ -405,7 +406,9 @@ def links(shared: DataFrame, ids: DataFrame, members: DataFrame, percent: int) -
     weight = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("w"))
     score = shared.join(weight, "sig").groupBy("set_id").agg(F.sum("w").alias("score"))
     rows = shared.join(score, "set_id")
+    release(shared.sparkSession)
     spokes = stage(_spokes(rows, members, percent), "spokes")
+    release(shared.sparkSession)
     found = spokes.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
     every = ids.select(F.col("set_id").alias("node"))
 
@@ -418,7 +421,9 @@ def links(shared: DataFrame, ids: DataFrame, members: DataFrame, percent: int) -
     sizes = members.select("set_id", F.size("shingles").alias("n"))
     by_set = sizes.join(labels.withColumnRenamed("node", "set_id"), "set_id")
     pairs = stage(_pairs(named.join(open_groups, "p"), by_set, percent), "pairs")
+    release(shared.sparkSession)
     fresh = stage(_linked(pairs, members, percent), "links")
+    release(shared.sparkSession)
     return labels if fresh.isEmpty() else labelled(components(found.union(fresh)))
 
 
@@ -427,6 +432,7 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
     shared = stage(_shared_signatures(docs, size, percent, common), "signatures")
+    release(docs.sparkSession)
     ids = stage(shared.select("set_id").distinct(), "candidates")
     n_ids = ids.count()
     sets = stage(_sets(docs, ids, n_ids, size), "sets")

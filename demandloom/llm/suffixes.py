@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import broadcast_within, bytes_of, mix
+from demandloom.llm.common import broadcast_within, bytes_of, mix, release
 from demandloom.sources.staging import stage
 
 LENGTH, GRAM = 50, 20
@@ -313,10 +313,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     plain = stage(plain, "plain")
     first = plain.where("doc_id IS NOT NULL").groupBy("sha256").agg(F.min("doc_id").alias("first"))
     places = stage(_shared_anchors(docs.where("doc_id IS NOT NULL"), parts), "shared-anchors")
+    release(docs.sparkSession)
     # copies of a whole text are settled; only first documents need their contexts compared
     ours = plain.join(first, "sha256").where("doc_id = first").select("doc_id").distinct()
     places = places.join(ours, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("positions"))
-    covered = stage(_covered(_with_text(named, stage(places, "places"), "positions"), parts), "covered")
+    places = stage(places, "places")
+    covered = stage(_covered(_with_text(named, places, "positions"), parts), "covered")
+    release(docs.sparkSession)
     found = covered.groupBy("doc_id", "name").agg(F.collect_list(F.struct("pos", "strings")).alias("found"))
     cut = _cut_out(_with_text(named, stage(found, "found"), "found")).dropDuplicates(["doc_id", "name"])
     nothing = hashlib.sha256(b"").hexdigest()
