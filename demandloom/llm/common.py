@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,5 +68,7 @@ def release(spark: SparkSession) -> None:
     The context cleaner removes them once the driver has collected the finished plans, which a driver
     with little garbage does late; the shuffles of several steps would stand on the disks together.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first collection finds is let go by the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
