@@ -91,8 +91,16 @@ def map_products(sales: DataFrame, ean_map: DataFrame) -> DataFrame:
 
 def money_sum(column: str) -> Column:
     """Sum in whole millionths. Sums of doubles depend on the order in which partitions arrive,
-    which would flip roundings from run to run; sums of whole numbers do not."""
-    return F.sum(F.rint(F.col(column) * 1e6).try_cast("bigint")) / F.lit(1e6)
+    which would flip roundings from run to run; sums of whole numbers do not.
+
+    Nothing is left out: NaN, infinite and immense amounts (1e24 and more) are summed as doubles and
+    show in the result.
+    """
+    amount = F.col(column)
+    usual = F.abs(amount) < 1e24  # NaN counts as larger
+    whole = F.sum(F.when(usual, F.rint(amount * 1e6)).cast("decimal(30,0)")).cast("double") / F.lit(1e6)
+    other = F.sum(F.when(~usual, amount))
+    return F.when(other.isNull(), whole).otherwise(other + F.coalesce(whole, F.lit(0.0)))
 
 
 def _rollup(mapped: DataFrame, keys: list[str]) -> DataFrame:

@@ -235,11 +235,11 @@ def time_folds(df: DataFrame, n_blocks: int = 5) -> DataFrame:
 
 
 def normalize_key(value: Column, dtype: str) -> Column:
-    """Integer-like ids as integer text (101.0 -> "101"); other text and NULL unchanged."""
+    """Integer-like ids as integer text (101.0 -> "101"), NaN as NULL; other text and NULL unchanged."""
     if dtype in ("double", "float"):
-        return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(
-            value.cast("string")
-        )
+        whole = (value == F.rint(value)) & (F.abs(value) < 1e37)
+        digits = F.when(whole, value).cast("decimal(38,0)").cast("string")
+        return F.when(~F.isnan(value), F.coalesce(digits, value.cast("string")))
     return value.cast("string")
 
 

@@ -207,8 +207,9 @@ def test_splits_and_folds(spark):
 
 
 def test_normalized_keys(spark):
-    numbers = spark.createDataFrame([(101.0,), (1.5,), (None,)], "k double")
-    assert values(numbers.select(datasets.normalized_key(numbers, "k").alias("k")), "k") == [(None,), ("1.5",), ("101",)]
+    numbers = spark.createDataFrame([(101.0,), (1.5,), (None,), (float("nan"),), (1e20,)], "k double")
+    keys = [r[0] for r in numbers.select(datasets.normalized_key(numbers, "k")).collect()]
+    assert keys == ["101", "1.5", None, None, "100000000000000000000"]
     texts = spark.createDataFrame([("001",)], "k string")
     assert texts.select(datasets.normalized_key(texts, "k")).first()[0] == "001"
     whole = spark.createDataFrame([(101,)], "k long")
@@ -261,3 +262,17 @@ def test_null_gate(spark):
     with pytest.raises(ValueError):
         guards.assert_no_missing(df, ["a"])
     guards.assert_no_missing(df.limit(1), ["a", "b"])
+
+
+def test_money_sums_lose_no_amount(spark):
+    from demandloom.operators.cleaning import money_sum
+
+    def total(*amounts):
+        return spark.createDataFrame([(a,) for a in amounts], "m double").agg(money_sum("m")).first()[0]
+
+    assert total(1e13, 5.0) == 1e13 + 5
+    assert total(0.1, 0.2, None) == 0.3
+    assert str(total(float("nan"), 5.0)) == "nan"
+    assert total(float("inf"), 5.0) == float("inf")
+    assert total(1e30, 5.0) == 1e30
+    assert total(None) is None
