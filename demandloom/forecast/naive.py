@@ -23,17 +23,22 @@ def with_seasonal_naive(dense: DataFrame, season: int = 7) -> DataFrame:
 
 
 def seasonal_naive(dense: DataFrame, horizon: int = 7, season: int = 7) -> DataFrame:
-    """Forecast of the ``horizon`` days after the end of each series."""
-    last = F.max("date").over(Window.partitionBy("item_id"))
+    """Forecast of the ``horizon`` days after the end of each series, always ``horizon`` rows.
+
+    Days of the last season before a series began take the mean of the series.
+    """
+    ends = dense.groupBy("item_id").agg(F.max("date").alias("last_date"), F.avg("target").alias("mean"))
+    days = ends.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(season - 1))))
+    days = days.withColumn("date", F.date_sub("last_date", F.col("back")))
+    seen = dense.select("item_id", "date", "target")
     cycles = F.explode(F.sequence(F.lit(1), F.lit(-(-horizon // season))))
     return (
-        dense.withColumn("last_date", last)
-        .filter(F.col("date") > F.date_sub("last_date", season))
+        days.join(seen, ["item_id", "date"], "left")
         .withColumn("cycle", cycles)
         .withColumn("date", F.date_add("date", F.col("cycle") * season))
         .withColumn("horizon", F.datediff("date", "last_date"))
         .filter(F.col("horizon") <= horizon)
-        .select("item_id", "date", "horizon", F.col("target").alias("y_pred"))
+        .select("item_id", "date", "horizon", F.coalesce("target", "mean").alias("y_pred"))
     )
 
 

@@ -276,3 +276,16 @@ def test_money_sums_lose_no_amount(spark):
     assert total(float("inf"), 5.0) == float("inf")
     assert total(1e30, 5.0) == 1e30
     assert total(None) is None
+
+
+def test_short_series_get_every_horizon_day(rows):
+    from demandloom.forecast import naive, tabular
+
+    days = [("long", f"2024-01-{d:02d}", float(d % 7)) for d in range(1, 31)]
+    days += [("short", f"2024-01-{d:02d}", v) for d, v in ((27, 1.0), (28, 2.0), (29, 3.0), (30, 6.0))]
+    dense = rows("item_id string, date date, target double", *days)
+    found = values(naive.seasonal_naive(dense).where("item_id = 'short'"), "horizon", "y_pred")
+    assert found == [(1, 3.0), (2, 3.0), (3, 3.0), (4, 1.0), (5, 2.0), (6, 3.0), (7, 6.0)]
+    for forecast in (tabular.direct_tabular, tabular.recursive_tabular):
+        counts = forecast(dense, horizon=7).groupBy("item_id").count()
+        assert values(counts, "item_id", "count") == [("long", 7), ("short", 7)]
