@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -38,7 +40,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and continue from the written table."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[staged] = path
+    return staged
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads.
+
+    For the frames that ``stage`` returned, once everything built on them is written itself: a lost
+    executor must not need them again.
+    """
+    for staged in tables:
+        path = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(staged))
+        path.getFileSystem(staged.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:

@@ -97,3 +97,14 @@ def test_command_line_jobs(spark, tmp_path, capsys):
     assert "odd" in capsys.readouterr().out and list((tmp_path / "audit").glob("*.csv"))
     cli.main(["prune", "--dataset", str(tmp_path / "t"), "--top-k", "1"])
     assert "pruned" in capsys.readouterr().out
+
+
+def test_discarded_stage_is_deleted(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        kept, gone = staging.stage(spark.range(5).toDF("n"), "kept"), staging.stage(spark.range(5).toDF("n"), "gone")
+        staging.discard(gone)
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    assert kept.count() == 5
+    assert [p.name.split("-")[0] for p in (tmp_path / "demandloom").iterdir()] == ["kept"]
