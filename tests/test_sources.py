@@ -99,12 +99,9 @@ def test_command_line_jobs(spark, tmp_path, capsys):
     assert "pruned" in capsys.readouterr().out
 
 
-def test_discarded_stage_is_deleted(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        kept, gone = staging.stage(spark.range(5).toDF("n"), "kept"), staging.stage(spark.range(5).toDF("n"), "gone")
-        staging.discard(gone)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_discarded_stage_is_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "checkpoint_root", lambda _: str(tmp_path))
+    kept, gone = staging.stage(spark.range(5).toDF("n"), "kept"), staging.stage(spark.range(5).toDF("n"), "gone")
+    staging.discard(gone)
     assert kept.count() == 5
     assert [p.name.split("-")[0] for p in (tmp_path / "demandloom").iterdir()] == ["kept"]
