@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from demandloom.llm.common import LOWER_BYTES, broadcast_within, bytes_of, mix, release
 from demandloom.llm.graph import components
-from demandloom.sources.staging import stage
+from demandloom.sources.staging import discard, stage
 
 SHINGLE, PERCENT = 4, 85
 #: Parts beyond those needed, ratio of a band's sizes.
@@ -296,26 +296,36 @@ def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, size: int) -> DataFrame:
     return every.join(wanted, "set_id", "left").select("doc_id", "n_shingles", "set_id", filled.alias("shingles"))
 
 
+def _only(members: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """The sets that ``pairs`` names in ``column``; the others do not travel."""
+    ids = stage(pairs.select(F.col(column).alias("set_id")).distinct(), "named")
+    return members.join(broadcast_within(ids, ids.count(), 32), "set_id", "left_semi")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar enough, judged on the whole sets."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
+    left = _only(sets, pairs, "a").select(F.col("set_id").alias("a"), F.col("shingles").alias("x"))
+    right = _only(sets, pairs, "b").select(F.col("set_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     met = pairs.join(left, "a").join(right, "b").withColumn("both", both)
     union = F.size("x") + F.size("y") - F.col("both")
     return met.where(100 * F.col("both") >= percent * union).select("a", "b")
 
 
-def _spokes(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Every set of a bucket beside the bucket's centre, the set that shares most with others.
+def _around(rows: DataFrame) -> DataFrame:
+    """(p, x): every set of a bucket beside the bucket's centre, the set that shares most with others."""
+    centre = rows.groupBy("sig").agg(F.max(F.struct("score", "set_id"))["set_id"].alias("p"))
+    return rows.join(centre, "sig").where("p != set_id").select("p", F.col("set_id").alias("x")).distinct()
+
+
+def _spokes(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p, x) of centres and sets, compared on the whole sets.
 
     (p, np, x, nx, linked, m, head): ``m`` shingles are in one of x and p only; ``head`` is the first
     of them, those of x by hash, then those of p by hash, as many as a prefix can need.
     """
-    centre = rows.groupBy("sig").agg(F.max(F.struct("score", "set_id"))["set_id"].alias("p"))
-    pairs = rows.join(centre, "sig").where("p != set_id").select("p", F.col("set_id").alias("x")).distinct()
-    left = members.select(F.col("set_id").alias("x"), F.col("shingles").alias("sx"))
-    right = members.select(F.col("set_id").alias("p"), F.col("shingles").alias("sp"))
+    left = _only(members, pairs, "x").select(F.col("set_id").alias("x"), F.col("shingles").alias("sx"))
+    right = _only(members, pairs, "p").select(F.col("set_id").alias("p"), F.col("shingles").alias("sp"))
     met = pairs.join(left, "x").join(right, "p").withColumns({"nx": F.size("sx"), "np": F.size("sp")})
     met = met.withColumns({"own": F.array_except("sx", "sp"), "other": F.array_except("sp", "sx")})
     met = met.withColumn("both", F.col("nx") - F.size("own"))
@@ -379,7 +389,7 @@ def _most_of(n: int, percent: int) -> int:
 
 
 def _pairs(spokes: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) with different labels that may still link, found around their common centre.
+    """Distinct (a, b), staged, with different labels that may still link, found around their common centre.
 
     If x and y differ in at most K shingles, their differences from p, of sizes m and l, have at least
     (m + l - K) / 2 shingles in common. So the first m - (m + l - K) / 2 + 1 of one and as many of the
@@ -389,7 +399,9 @@ def _pairs(spokes: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     ``named``: (set_id, n, label).
     """
     parts = int(spokes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = stage(_meet(_prefix_keys(spokes, percent, parts, 2 * parts), parts, 2 * parts), "prefixes").join(named, "set_id")
+    prefixes = stage(_meet(_prefix_keys(spokes, percent, parts, 2 * parts), parts, 2 * parts), "prefixes")
+    release(spokes.sparkSession)
+    met = prefixes.join(named, "set_id")
     several = met.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("sig")
     rows = met.join(several, "sig")
     same = (F.col("tag") == 1).alias("same")
@@ -397,18 +409,24 @@ def _pairs(spokes: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     right = rows.where("tag >= 1").select("sig", same, F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     pairs = left.join(right, ["sig", "same"]).where("la != lb AND (NOT same OR a < b)")
     pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    discard(prefixes)
+    return pairs
 
 
 def links(shared: DataFrame, ids: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of the sets in ``ids``: the smallest set of the component."""
+    """(node, label) of the sets in ``ids``: the smallest set of the component.
+
+    ``shared`` and ``members`` are staged tables; they are deleted when they have been used.
+    """
     # how much each set shares with others: the centre of a family of near copies scores highest
     weight = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("w"))
     score = shared.join(weight, "sig").groupBy("set_id").agg(F.sum("w").alias("score"))
-    rows = shared.join(score, "set_id")
-    release(shared.sparkSession)
-    spokes = stage(_spokes(rows, members, percent), "spokes")
-    release(shared.sparkSession)
+    around = stage(_around(shared.join(score, "set_id")), "around")
+    discard(shared)
+    release(members.sparkSession)
+    spokes = stage(_spokes(around, members, percent), "spokes")
+    release(members.sparkSession)
     found = spokes.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
     every = ids.select(F.col("set_id").alias("node"))
 
@@ -420,10 +438,11 @@ def links(shared: DataFrame, ids: DataFrame, members: DataFrame, percent: int) -
     open_groups = named.groupBy("p").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("p")
     sizes = members.select("set_id", F.size("shingles").alias("n"))
     by_set = sizes.join(labels.withColumnRenamed("node", "set_id"), "set_id")
-    pairs = stage(_pairs(named.join(open_groups, "p"), by_set, percent), "pairs")
-    release(shared.sparkSession)
+    pairs = _pairs(named.join(open_groups, "p"), by_set, percent)
+    release(members.sparkSession)
     fresh = stage(_linked(pairs, members, percent), "links")
-    release(shared.sparkSession)
+    discard(members, pairs)
+    release(members.sparkSession)
     return labels if fresh.isEmpty() else labelled(components(found.union(fresh)))
 
 
@@ -435,11 +454,15 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     release(docs.sparkSession)
     ids = stage(shared.select("set_id").distinct(), "candidates")
     n_ids = ids.count()
-    sets = stage(_sets(docs, ids, n_ids, size), "sets")
+    whole = stage(_sets(docs, ids, n_ids, size), "whole-sets")
+    sets = stage(whole.drop("shingles"), "sets")
     labels = None
     if n_ids:
-        members = sets.where("shingles IS NOT NULL").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-        labels = links(shared, ids, stage(members, "members"), percent)
+        members = whole.where("shingles IS NOT NULL").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+        members = stage(members, "members")
+        discard(whole)
+        release(docs.sparkSession)
+        labels = links(shared, ids, members, percent)
     classes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     if labels is not None:
         named = classes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
