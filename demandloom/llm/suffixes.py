@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.llm.common import broadcast_within, bytes_of, mix, release
-from demandloom.sources.staging import stage
+from demandloom.sources.staging import discard, stage
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1  # grams of a string
@@ -312,16 +312,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     plain = stage(plain, "plain")
     first = plain.where("doc_id IS NOT NULL").groupBy("sha256").agg(F.min("doc_id").alias("first"))
-    places = stage(_shared_anchors(docs.where("doc_id IS NOT NULL"), parts), "shared-anchors")
+    shared = stage(_shared_anchors(docs.where("doc_id IS NOT NULL"), parts), "shared-anchors")
     release(docs.sparkSession)
     # copies of a whole text are settled; only first documents need their contexts compared
     ours = plain.join(first, "sha256").where("doc_id = first").select("doc_id").distinct()
-    places = places.join(ours, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("positions"))
+    places = shared.join(ours, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("positions"))
     places = stage(places, "places")
+    discard(shared)
+    release(docs.sparkSession)
     covered = stage(_covered(_with_text(named, places, "positions"), parts), "covered")
+    discard(places)
     release(docs.sparkSession)
     found = covered.groupBy("doc_id", "name").agg(F.collect_list(F.struct("pos", "strings")).alias("found"))
-    cut = _cut_out(_with_text(named, stage(found, "found"), "found")).dropDuplicates(["doc_id", "name"])
+    found = stage(found, "found")
+    discard(covered)
+    release(docs.sparkSession)
+    cut = _cut_out(_with_text(named, found, "found")).dropDuplicates(["doc_id", "name"])
     nothing = hashlib.sha256(b"").hexdigest()
     rows = plain.join(first, "sha256", "left").join(cut, ["doc_id", "name"], "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
