@@ -43,6 +43,8 @@ SLACK, BAND = 2, 1.4
 SAMPLE_DOCS, COMMON = 20_000, 12
 #: Words and signatures that a task holds at a time.
 WORD_CACHE, HELD, ROWS_AT_ONCE = 400_000, 1_500_000, 128
+#: Slices of the centres, compared one after the other: the shuffled sets of one slice stand on the disks at a time.
+SLICES = 4
 
 
 class _WordHashes(dict):
@@ -425,8 +427,11 @@ def links(shared: DataFrame, ids: DataFrame, members: DataFrame, percent: int) -
     around = stage(_around(shared.join(score, "set_id")), "around")
     discard(shared)
     release(members.sparkSession)
-    spokes = stage(_spokes(around, members, percent), "spokes")
-    release(members.sparkSession)
+    spokes = None
+    for k in range(SLICES):
+        part = stage(_spokes(around.where(F.pmod(F.xxhash64("p"), F.lit(SLICES)) == k), members, percent), "spokes")
+        release(members.sparkSession)
+        spokes = part if spokes is None else spokes.union(part)
     found = spokes.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
     every = ids.select(F.col("set_id").alias("node"))
 
