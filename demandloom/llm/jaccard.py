@@ -7,10 +7,15 @@ Signatures. Sizes are covered by overlapping bands so that every pair similar en
 Within a band such sets differ in at most k elements. The feature domain is split by hash into n1
 parts, each into three; of n1 > k // 2 parts at least one differs in at most one element, hence two
 of its three sub-parts are equal: the hashes of the three pairs of sub-parts are its signatures, and
-one of them is shared. n1 has ``SLACK`` parts more than needed. That lets a document leave out weak
+one of them is shared. n1 has a quarter of the needed
+parts more, ``SLACK`` at least: a long set has as many more weak signatures, as empty sub-parts are weak
+too. That lets a document leave out weak
 signatures, those made only of shingles that very many documents hold: as long as fewer parts have a
 weak signature than parts must agree, a partner shares another one. Which shingles count as common
-comes from a bounded sample and affects only the work, never the links.
+comes from a bounded sample and affects only the work, never the links. The same count serves once more
+when signatures have met: similar sets share a signature in each part they must agree on, so a set that
+met fewer of them in a band has no partner there, and met signatures of large buckets, say those of a
+passage that many documents quote, may go while they are fewer than that.
 
 Links. Signatures are partitioned by hash, and sets whose signature is alone go. Candidates are not
 all pairs of a bucket: every set is compared, on the whole sets, with the centre of its bucket, and
@@ -37,8 +42,12 @@ from demandloom.llm.graph import components
 from demandloom.sources.staging import discard, stage
 
 SHINGLE, PERCENT = 4, 85
-#: Parts beyond those needed, ratio of a band's sizes.
-SLACK, BAND = 2, 1.4
+#: Parts beyond those needed, at least; ratio of a band's sizes.
+SLACK, BAND = 5, 1.4
+#: Steps in which a tag counts the signatures that any partner shares, rounded down.
+LEAST = [0, 1, 2, 4, 6, 16, 64, 256]
+#: Owners beyond which a met signature counts as one of a large bucket.
+CROWD = 4
 #: Bounded sample behind the common shingles: documents, and how many of them make a shingle common.
 SAMPLE_DOCS, COMMON = 20_000, 12
 #: Words and signatures that a task holds at a time.
@@ -92,7 +101,7 @@ class Bands:
         while low <= largest:
             high = max(low, int(low * BAND))
             k = 2 * high * (100 - percent) // (100 + percent)
-            self.rows.append((low, high, k, k // 2 + 1 + (SLACK if k >= 8 else 0)))
+            self.rows.append((low, high, k, k // 2 + 1 + (max(SLACK, k // 8) if k >= 8 else 0)))
             low = max(low + 1, -(-percent * (high + 1) // 100))
         self.lows = np.array([r[0] for r in self.rows])
         self.highs = np.array([r[1] for r in self.rows])
@@ -101,11 +110,14 @@ class Bands:
         return range(int(np.searchsorted(self.highs, size)), int(np.searchsorted(self.lows, size, side="right")))
 
 
-def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a batch of sets, as 64-bit integers, and the number of each one's set."""
+def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a batch of sets, as 64-bit integers, the number of each one's set, and its tag.
+
+    A tag is 8 * (band modulo 4) + the step in ``LEAST`` of what any partner in the band shares at least.
+    """
     pairs = [(k, band) for k, s in enumerate(sets) for band in bands.of(len(s)) if bands.rows[band][2]]
     if not pairs:  # bands whose largest difference is 0 hold equal sets only
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
     member, band = np.array(pairs).T
     lengths = np.array([len(sets[k]) for k in member])
     n1 = np.array([bands.rows[b][3] for b in band])
@@ -132,7 +144,9 @@ def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> tupl
     found = mix(mix(kept + np.uint64(1)) + labels * np.uint64(0x9E3779B97F4A7C15))
     send = ~weak | np.repeat(weak_parts >= agree, n1)[:, None]
     owner = np.repeat(member, 3 * n1).reshape(-1, 3)
-    return found[send], owner[send]
+    step = np.searchsorted(LEAST, np.maximum(agree - weak_parts, 0), side="right") - 1
+    tag = np.repeat(8 * (band % 4) + step, 3 * n1).reshape(-1, 3)
+    return found[send], owner[send], tag[send].astype(np.uint8)
 
 
 # --- jobs ---------------------------------------------------------------------------------------
@@ -157,7 +171,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _emit(keys: np.ndarray, owners: np.ndarray, tags: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Blocks of (key, owner, tag) by hash bucket; one row holds thousands of them.
+    """Blocks of (key, owner, tag under 32) by hash bucket; one row holds thousands of them.
 
     A key that already has two owners here is settled: its entries travel as found, and one of them
     also as an entry, for others to meet. So a key arrives at most once per block, however hot it is.
@@ -175,7 +189,7 @@ def _emit(keys: np.ndarray, owners: np.ndarray, tags: np.ndarray, buckets: int)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     low = (keys[order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-    owners, marks = owners[order], (state * 4 + tags.astype(np.uint8))[order]
+    owners, marks = owners[order], (state * 32 + tags.astype(np.uint8))[order]
     rows = [
         (k, low[a:z].tobytes() + owners[a:z].tobytes() + marks[a:z].tobytes())
         for k, (a, z) in enumerate(zip(cuts, cuts[1:]))
@@ -205,15 +219,15 @@ def _meet(blocks: DataFrame, parts: int, buckets: int) -> DataFrame:
             key = wide.view(np.int64).ravel()
             owner = np.concatenate([np.frombuffer(r, np.int64, n, 6 * n) for r, n in zip(rows, sizes)])
             mark = np.concatenate([np.frombuffer(r, np.uint8, n, 14 * n) for r, n in zip(rows, sizes)])
-            order = np.lexsort((mark & 3, owner, key))
+            order = np.lexsort((mark & 31, owner, key))
             key, owner, mark = key[order], owner[order], mark[order]
             start = np.r_[True, key[1:] != key[:-1]]
             ends = np.r_[np.flatnonzero(start)[1:], len(key)] - 1
             several = (owner[start] != owner[ends])[np.cumsum(start) - 1]
-            keep = several | (mark >= 4)
-            keep &= np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | ((mark & 3)[1:] != (mark & 3)[:-1])] | (mark >= 4)
+            keep = several | (mark >= 32)
+            keep &= np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | ((mark & 31)[1:] != (mark & 31)[:-1])] | (mark >= 32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[keep] * buckets + bucket), pa.array(owner[keep]), pa.array((mark[keep] & 3).astype(np.int32))],
+                [pa.array(key[keep] * buckets + bucket), pa.array(owner[keep]), pa.array((mark[keep] & 31).astype(np.int32))],
                 names=["sig", "set_id", "tag"],
             )
 
@@ -221,18 +235,17 @@ def _meet(blocks: DataFrame, parts: int, buckets: int) -> DataFrame:
 
 
 def _shared_signatures(docs: DataFrame, size: int, percent: int, common) -> DataFrame:
-    """(sig, set_id): signatures that at least two different sets have."""
+    """(sig, set_id, tag): signatures that at least two different sets have."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 2 * parts
 
     def cut(batches):
         shingler, bands, frequent = Shingler(size), Bands(percent), common.value
-        sigs, ids, held = [], [], 0
+        sigs, ids, tags, held = [], [], [], 0
         seen: set[int] = set()  # equal sets of a task are sent once
 
         def emit():
-            sig, owner = np.concatenate(sigs), np.concatenate(ids)
-            return _emit(sig, owner, np.zeros(len(sig), np.uint8), buckets)
+            return _emit(np.concatenate(sigs), np.concatenate(ids), np.concatenate(tags), buckets)
 
         for batch in batches:
             texts = bytes_of(batch.column(1))
@@ -248,20 +261,39 @@ def _shared_signatures(docs: DataFrame, size: int, percent: int, common) -> Data
                     seen.add(owner)
                     sets.append(shingles)
                     owners.append(owner)
-                found, number = signatures(sets, bands, frequent)
+                found, number, tag = signatures(sets, bands, frequent)
                 if not len(found):
                     continue
                 sigs.append(found)
                 ids.append(np.array(owners, np.int64)[number])
+                tags.append(tag)
                 held += len(found)
                 if held >= HELD:
                     yield emit()
-                    sigs, ids, held = [], [], 0
+                    sigs, ids, tags, held = [], [], [], 0
         if held:
             yield emit()
 
     blocks = docs.mapInArrow(cut, "bucket int, block binary")
-    return _meet(blocks, parts, buckets).select("sig", "set_id")
+    return _meet(blocks, parts, buckets)
+
+
+def _needed(met: DataFrame) -> DataFrame:
+    """(sig, set_id): the met signatures (sig, set_id, tag) that finding every link takes.
+
+    Two similar sets share, in some band, at least as many signatures as the tag of either says. A set
+    with fewer has no partner in the band. Of the others, those of large buckets go where the set has
+    fewer of them than its tag says: at least one of those shared with any partner stays, at both.
+    """
+    least = F.get(F.array(*map(F.lit, LEAST)), F.col("tag") % 8)
+    for _ in range(2):  # the sets that go leave others' signatures alone
+        several = met.groupBy("sig").agg(F.count(F.lit(1)).alias("w")).where("w > 1")
+        rows = stage(met.select("sig", "set_id", "tag").join(several, "sig"), "several")
+        counted = rows.groupBy("set_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("w") > CROWD).alias("crowds"))
+        met = stage(rows.join(counted.where(F.col("n") >= least), ["set_id", "tag"]), "possible")
+        discard(rows)
+    kept = met.where((F.col("w") <= CROWD) | (F.col("crowds") >= least)).select("sig", "set_id")
+    return kept.join(kept.groupBy("sig").agg(F.count(F.lit(1)).alias("w")).where("w > 1"), "sig", "left_semi")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, size: int) -> DataFrame:
@@ -372,7 +404,7 @@ def _prefix_keys(spokes: DataFrame, percent: int, parts: int, buckets: int) -> D
                     if common < 1:  # nothing need be in common: such sets meet at 0
                         prefix = np.r_[prefix, np.zeros(1, np.uint64)]
                     salt = mix(np.array([p, min(own, c), max(own, c)], np.int64).view(np.uint64) + np.arange(3, dtype=np.uint64))
-                    keys.append(mix(mix(prefix + salt[0]) + salt[1] * np.uint64(3) + salt[2] * np.uint64(5)))
+                    keys.append(mix(mix(prefix + salt[0]) + salt[1:2] * np.uint64(3) + salt[2:] * np.uint64(5)))
                     owners.append(np.full(len(prefix), x, np.int64))
                     tags.append(np.full(len(prefix), 0 if own < c else 1 if own == c else 2, np.uint8))
                     held += len(prefix)
@@ -455,7 +487,10 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     """(doc_id, n_shingles, component_id) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
-    shared = stage(_shared_signatures(docs, size, percent, common), "signatures")
+    met = stage(_shared_signatures(docs, size, percent, common), "signatures")
+    release(docs.sparkSession)
+    shared = stage(_needed(met), "needed-signatures")
+    discard(met)
     release(docs.sparkSession)
     ids = stage(shared.select("set_id").distinct(), "candidates")
     n_ids = ids.count()

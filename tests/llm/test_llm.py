@@ -101,8 +101,16 @@ def test_signatures_are_shared_by_similar_sets():
         if 100 * both < 85 * (len(x) + len(y) - both):
             continue
         common = np.sort(rng.choice(x, len(x) // 2, replace=False))
-        one = set(jaccard.signatures([x], bands, common)[0].tolist())
-        assert len(x) == both or one & set(jaccard.signatures([y], bands, common)[0].tolist())
+        one, _, tags = jaccard.signatures([x], bands, common)
+        met = tags[np.isin(one, jaccard.signatures([y], bands, common)[0])]
+        assert len(x) == both or any((met == tag).sum() >= max(1, jaccard.LEAST[tag % 8]) for tag in set(met.tolist()))
+
+
+def test_long_sets_without_a_common_shingle_share_no_signature():
+    rng = np.random.default_rng(4)
+    x, y = (np.unique(rng.integers(0, 1 << 62, 20_000).astype(np.uint64)) for _ in range(2))
+    found = [jaccard.signatures([s], jaccard.Bands(80), np.zeros(0, np.uint64))[0] for s in (x, y)]
+    assert len(found[0]) and not np.isin(*found).any()
 
 
 # --- 2: secrets ---------------------------------------------------------------------------------
