@@ -346,6 +346,19 @@ def test_repeated_tokens_equal_brute_force():
         assert (covered == expected).all()
 
 
+def test_repeats_are_found_across_the_groups_of_a_host(spark):
+    shared = [" ".join(f"s{k}w{i}" for i in range(8)) for k in range(20)]
+    rows = [(k, f"http://h.example/{k}", f"<p>p{k} own{k}</p><p>{shared[k % 20]}</p><p>end{k}</p>") for k in range(40)]
+    rows += [(100 + k, f"http://h.example/copy{k}", f"<p>{' '.join(f'c{i}' for i in range(9))}</p>") for k in range(9)]
+    rows += [(200, "http://other.example", f"<p>{shared[0]}</p>")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (2, 500):
+        found = {r.page_id: r.text for r in html_text.main_text(table, group=group).collect()}
+        assert {k: found[k] for k in range(40)} == {k: f"p{k} own{k}\nend{k}" for k in range(40)}
+        assert {found[100 + k] for k in range(9)} == {" ".join(f"c{i}" for i in range(9))}
+        assert found[200] == shared[0] and len(found) == 50
+
+
 # --- 9: repeated bytes --------------------------------------------------------------------------
 
 
