@@ -320,6 +320,25 @@ def test_marked_article():
     assert html_text.blocks(page) == (["A & b", "one two three", "four", "x", "y z", "1", "2", "tail"], True)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='page with-sidebar'><article><p>a</p><p>b</p></article></div>",
+        "<div class='has-header no-comments'><main><p>a</p><p>b</p></main></div>",
+        "<div class='widget'><section id='sidebar'><article><p>a</p><p>b</p></article></section></div>",
+        "<form><main><p>a</p><p>b</p></main></form><article><div class='comments'>no</div></article>",
+        "<div class='sidebar main' role=main><p>a</p><p>b</p></div>",
+        "<article><div class='article-header'><p>a</div><p id='search-results' class='share-price'>b</article>",
+        "<article><h1 class='section-header'>a</h1><p>b</p><div class='site-footer'>no</div><p class='ad'>no</p></article>",
+        "<main><p>a</p><p>b</p><div class='comments'><article>no</article></div></main>",
+        "<article><p>a</p><p>b</p></article><div class='related'><article>no</article></div>",
+        "<template><main>no</main></template><article><p>a</p><p>b</p></article>",
+    ],
+)
+def test_hidden_elements_never_hide_the_article(page):
+    assert html_text.blocks(page) == (["a", "b"], True)
+
+
 def test_unmarked_pages_lose_what_their_host_repeats(spark):
     menu = "home about all our pages and offers in one long line"
     rows = [(k, "http://h.example/" + str(k), f"<body><div>{menu}</div><p>{k} own text of it</p></body>", "t") for k in range(6)]
