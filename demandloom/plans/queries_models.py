@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.forecast import naive, seasonal_regression, smoothing, tabular, trees
-from demandloom.operators import datasets, metrics
+from demandloom.operators import datasets, metrics, windows
 from demandloom.plans import catalog
 from demandloom.plans.catalog import query
 from demandloom.plans.inputs import Inputs
+from demandloom.plans.queries_features import product_series_of
 from demandloom.sources.staging import new_folder, stage
 
-# Few, shallow trees: the checks run on every table at full size, not on samples of rows.
-SMALL_GBT = {"maxIter": 6, "maxDepth": 4}
-SMALL_RF = {"numTrees": 10, "maxDepth": 6}
-SMALL_SPACE = {"maxIter": (3, 6), "maxDepth": (2, 4), "stepSize": (0.05, 0.3)}
 METRICS = "n:long mse:double mae:double r2:double mape_nonzero:double rmsle:double wmape:double"
 
 _last_week = partial(datasets.split_last_n, n=7)
@@ -48,65 +46,61 @@ def gbt_total(inputs: Inputs) -> DataFrame:
     """Train, save, load and score the store total model on the last seven dates."""
     train, test = _store_split(inputs)
     folder = new_folder(inputs.spark, "model")
-    trees.save_model(trees.train(train, "xgb_total", **SMALL_GBT), folder)
+    trees.save_model(trees.train(train, "xgb_total"), folder)
     return trees.load_and_test(folder, test, "xgb_total")
 
 
 @query("gbt_share", METRICS + " weighted_mae:double")
 def gbt_share(inputs: Inputs) -> DataFrame:
-    scored = stage(trees.train_and_score(*_product_split(_share_table(inputs)), "xgb_share", **SMALL_GBT), "scored")
+    scored = stage(trees.train_and_score(*_product_split(_share_table(inputs)), "xgb_share"), "scored")
     return metrics.error_metrics(scored).withColumn("weighted_mae", metrics.weighted_mae(scored).scalar())
 
 
 @query("gbt_direct", METRICS)
 def gbt_direct(inputs: Inputs) -> DataFrame:
     return metrics.error_metrics(
-        trees.train_and_score(*_product_split(_direct_table(inputs)), "xgb_direct", **SMALL_GBT)
+        trees.train_and_score(*_product_split(_direct_table(inputs)), "xgb_direct")
     )
 
 
 @query("rf_total", METRICS)
 def rf_total(inputs: Inputs) -> DataFrame:
-    return metrics.error_metrics(trees.train_and_score(*_store_split(inputs), "xgb_total", kind="rf", **SMALL_RF))
+    return metrics.error_metrics(trees.train_and_score(*_store_split(inputs), "xgb_total", kind="rf"))
 
 
 @query("expanding_cv", "fold:int score:double")
 def expanding_cv(inputs: Inputs) -> DataFrame:
-    return trees.expanding_cv(_store_table(inputs), "xgb_total", maxIter=4, maxDepth=3)
+    return trees.expanding_cv(_store_table(inputs), "xgb_total")
 
 
 @query("share_cv", "fold:int score:double")
 def share_cv(inputs: Inputs) -> DataFrame:
     """Date blocks 1..4, each predicted from all earlier blocks, scored by weighted error."""
     table = stage(_share_table(inputs), "share_table")
-    return trees.expanding_cv(
-        table, "xgb_share", folds=trees.share_folds(table), metric="weighted_mae", maxIter=3, maxDepth=3
-    )
+    return trees.expanding_cv(table, "xgb_share", folds=trees.share_folds(table), metric="weighted_mae")
 
 
 @query("param_search", "trial:int params:string cv_score:double")
 def param_search(inputs: Inputs) -> DataFrame:
-    return trees.param_search(
-        _store_table(inputs), "xgb_total", n_trials=2, space=SMALL_SPACE, parallelism=2
-    )
+    return trees.param_search(_store_table(inputs), "xgb_total")
 
 
 @query("feature_importance", "feature:string importance:double")
 def feature_importance(inputs: Inputs) -> DataFrame:
     train, _ = _store_split(inputs)
-    return trees.feature_importance(trees.train(train, "xgb_total", **SMALL_GBT), inputs.spark)
+    return trees.feature_importance(trees.train(train, "xgb_total"), inputs.spark)
 
 
 @query("prune_compare", f"variant:string n_features:int {METRICS}")
 def prune_compare(inputs: Inputs) -> DataFrame:
-    return trees.prune_compare(*_store_split(inputs), "xgb_total", top_k=8, **SMALL_GBT)
+    return trees.prune_compare(*_store_split(inputs), "xgb_total", top_k=8)
 
 
 @query("hierarchical_eval", f"shares:string {METRICS}")
 def hierarchical_eval(inputs: Inputs) -> DataFrame:
     """Share x total on the last seven dates, with raw and with normalised shares."""
     frame = stage(
-        trees.hierarchical_predictions(_store_table(inputs), _share_table(inputs), _last_week, **SMALL_GBT), "hierarchy"
+        trees.hierarchical_predictions(_store_table(inputs), _share_table(inputs), _last_week), "hierarchy"
     )
     normalized = datasets.normalize_shares(frame.drop("pred_quantity")).withColumn(
         "pred_quantity", F.col("pred_share") * F.col("pred_total")
@@ -146,34 +140,47 @@ def _dense_stores(inputs: Inputs) -> DataFrame:
     return datasets.store_series(datasets.aggregate_to_store_daily(catalog.features(inputs)), covariates=None)
 
 
+def _dense_series(inputs: Inputs) -> DataFrame:
+    """Store series and store-product series; the ids of the latter are ``product_store``."""
+    products = windows.densify_ffill(product_series_of(inputs))
+    stores = _dense_stores(inputs).withColumn("target", F.col("target").cast("double"))
+    return stores.unionByName(products.withColumn("target", F.col("target").cast("double")))
+
+
+def _by_level(model: Callable[..., DataFrame], dense: DataFrame, horizon: int = 7) -> DataFrame:
+    """A global model is trained on stores and on products apart, as their scales differ."""
+    product = F.col("item_id").contains("_")
+    return model(dense.filter(~product), horizon).unionByName(model(dense.filter(product), horizon))
+
+
 @query("ets_forecast", FORECAST)
 def ets_forecast(inputs: Inputs) -> DataFrame:
-    return smoothing.ets_forecast(_dense_stores(inputs))
+    return smoothing.ets_forecast(_dense_series(inputs))
 
 
 @query("theta_forecast", FORECAST)
 def theta_forecast(inputs: Inputs) -> DataFrame:
-    return smoothing.theta_forecast(_dense_stores(inputs))
+    return smoothing.theta_forecast(_dense_series(inputs))
 
 
 @query("direct_tabular", FORECAST)
 def direct_tabular(inputs: Inputs) -> DataFrame:
-    return tabular.direct_tabular(_dense_stores(inputs), maxIter=4, maxDepth=3)
+    return _by_level(tabular.direct_tabular, stage(_dense_series(inputs), "dense_series"))
 
 
 @query("recursive_tabular", FORECAST)
 def recursive_tabular(inputs: Inputs) -> DataFrame:
-    return tabular.recursive_tabular(_dense_stores(inputs), maxIter=5, maxDepth=4)
+    return _by_level(tabular.recursive_tabular, stage(_dense_series(inputs), "dense_series"))
 
 
 @query("model_leaderboard", "model:string score:double")
 def model_leaderboard(inputs: Inputs) -> DataFrame:
-    """All series models on the last seven days of the store series, best first."""
+    """All series models on the last seven days of the store and store-product series, best first."""
     models = {
         "seasonal_naive": naive.seasonal_naive,
         "ets": smoothing.ets_forecast,
         "theta": smoothing.theta_forecast,
-        "direct_tabular": partial(tabular.direct_tabular, maxIter=4, maxDepth=3),
-        "recursive_tabular": partial(tabular.recursive_tabular, maxIter=5, maxDepth=4),
+        "direct_tabular": partial(_by_level, tabular.direct_tabular),
+        "recursive_tabular": partial(_by_level, tabular.recursive_tabular),
     }
-    return naive.leaderboard(naive.holdout_predictions(_dense_stores(inputs), models))
+    return naive.leaderboard(naive.holdout_predictions(_dense_series(inputs), models))
