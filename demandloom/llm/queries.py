@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import chat, decontamination, html_text, jaccard, lengths, pieces, secrets, suffixes, topk, toxicity
+from demandloom.llm import (
+    centroids,
+    chat,
+    decontamination,
+    html_text,
+    jaccard,
+    lengths,
+    negatives,
+    pieces,
+    secrets,
+    suffixes,
+    topk,
+    toxicity,
+)
 from demandloom.llm.common import table
 from demandloom.sources.staging import stage
 
@@ -136,3 +149,75 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_text(table(spark, folder, "pages"))
+
+
+@query
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, folder, "embeddings")))
+
+
+def _centroid_sql(k: int = centroids.CENTROIDS, rounds: int = centroids.ROUNDS) -> str:
+    """Plain nearest-centroid rounds: all distances, smallest (distance, number)."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(e) AS e, min(struct_pack(d := d, j := j)) AS b FROM (
+    SELECT v.rid, v.vec_id, v.e, c.j,
+      CAST(list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS BIGINT) AS d
+    FROM v, c{r} c) GROUP BY rid
+)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.j, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (
+    SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM (
+      SELECT j, i, sum(x) AS s, count(*) AS n FROM (
+        SELECT b.j AS j, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{r}) GROUP BY j, i) GROUP BY j
+  ) m USING (j)
+)""")
+    chain = ", ".join(steps)
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, e) - 1 AS j, e FROM v QUALIFY j < {k}
+), {chain}
+SELECT vec_id, CAST(b.j AS INTEGER) AS cluster, b.d AS distance,
+  CAST(sum(b.d) OVER (PARTITION BY b.j) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.e, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.j = b.j"""
+
+
+ORACLES["op11_centroids"] = _centroid_sql()
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.whole_rows(table(spark, folder, "embeddings"), label), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, min(struct_pack(label := label, e := e)) AS r FROM (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL AND label IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  ) GROUP BY vec_id
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.r.label = c.r.label AS same,
+    CAST(list_sum(list_transform(range(1, least(len(a.r.e), len(c.r.e)) + 1), lambda i: a.r.e[i] * c.r.e[i])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
