@@ -18,11 +18,12 @@ from demandloom.llm import (
     pieces,
     secrets,
     suffixes,
+    token_files,
     topk,
     toxicity,
 )
 from demandloom.llm.common import table
-from demandloom.sources.staging import stage
+from demandloom.sources.staging import new_folder, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,6 +194,13 @@ FROM a{rounds} JOIN c{rounds} c ON c.j = b.j"""
 ORACLES["op11_centroids"] = _centroid_sql()
 
 
+@query
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "token-ids")
+    token_files.write(table(spark, folder, "documents"), path)
+    return token_files.summary(token_files.open_file(spark, path))
+
+
 @query
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
