@@ -22,9 +22,10 @@ import numpy as np
 
 VERSION = 1
 #: An interval is a share of 2**MASS. Ids of a block; lanes that go in step.
-MASS, BLOCK, LANES = 28, 4096, 1024
+MASS, BLOCK, LANES = 28, 4096, 512
 #: Count of one occurrence (an id of the alphabet starts at 1), slots of the order-2 table, ids between renewals.
-GAIN, SLOTS, RENEW = 16, 8192, 64
+#: All counts of a block add up to less than 2**16, and an id of its alphabet with a confidence fits 16 bits.
+GAIN, SLOTS, RENEW = 14, 4096, 64
 #: Largest weight of one prediction, of 65536: order 0 keeps at least 2**-10 of the mass.
 SURE = 65536 - 2048
 #: Weights by confidence before anything is learned, and for how many ids they count.
@@ -41,10 +42,10 @@ class _Model:
         n, size = len(alphabets), int(alphabets.max(initial=1))
         self.lane, self.size = np.arange(n), size
         self.row = 1 << size.bit_length()  # more than the alphabet: the search ends at a huge sum
-        self.counts = (np.arange(size) < alphabets[:, None]).astype(np.int32)
-        self.sums = np.full((n, self.row), 1 << 30, np.int32)
-        self.after1 = np.zeros(n * size, np.int32)  # predicted id * 8 + confidence
-        self.after2 = np.zeros(n * SLOTS, np.int32)
+        self.counts = (np.arange(size) < alphabets[:, None]).astype(np.uint16)
+        self.sums = np.full((n, self.row), 65535, np.uint16)
+        self.after1 = np.zeros(n * size, np.uint16)  # predicted id * 8 + confidence
+        self.after2 = np.zeros(n * SLOTS, np.uint16)
         first = np.array(FIRST_WEIGHTS, np.int64)
         self.tried = np.full((2, n, 8), FIRST_IDS, np.int64)
         self.hits = np.tile(first * FIRST_IDS, (2, n, 1)) >> 16
@@ -70,7 +71,7 @@ class _Model:
         sums = self.sums[:a, 1 : self.size + 1]
         np.cumsum(self.counts[:a], axis=1, out=sums)
         self.sums[:a, 0] = 0
-        self.total = self.sums[:, self.size].copy()
+        self.total = self.sums[:, self.size].astype(np.int32)
         self.at = 0
 
     def predict(self, a: int) -> None:
@@ -78,7 +79,7 @@ class _Model:
         lane, last1, last2 = self.lane[:a], self.last1[:a], self.last2[:a]
         self.at1 = lane * self.size + last1
         self.at2 = lane * SLOTS + ((last1 * 40503 + last2 * 25717 + (last2 >> 3)) & (SLOTS - 1))
-        self.entry1, self.entry2 = self.after1[self.at1], self.after2[self.at2]
+        self.entry1, self.entry2 = self.after1[self.at1].astype(np.int32), self.after2[self.at2].astype(np.int32)
         self.sure1, self.sure2 = self.entry1 & 7, self.entry2 & 7
         self.id1, self.id2 = self.entry1 >> 3, self.entry2 >> 3
         flat = self.rates.reshape(2, -1)
@@ -90,7 +91,7 @@ class _Model:
     def interval(self, a: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and width of each lane's id."""
         at, sums = self.lane[:a] * self.row + s, self.sums.reshape(-1)
-        low = sums[at]
+        low = sums[at].astype(np.int32)
         begin = self.unit * low + self.w1 * (self.id1 < s) + self.w2 * (self.id2 < s)
         width = self.unit * (sums[at + 1] - low) + self.w1 * (self.id1 == s) + self.w2 * (self.id2 == s)
         return begin, width

@@ -10,18 +10,17 @@ and end anywhere and may fill many blocks. Format: a Parquet table with one row
     first      number within the range of the document that the block's first id belongs to
     doc_ids    documents with ids in the block, in order
     ends       where each of them ends in the block
-    whole      whether the first began and the last ended in this block (two booleans)
     ids_crc32  crc32 of the block's ids as little-endian unsigned 32-bit integers
     payload    the ids, coded by ``range_coder``: every block on its own
 
 Reading: any task decodes any blocks (column ``payload`` is all it needs), compares the checksum and
-fails by name where it differs. Parts of a document that lies in several blocks are put together
-by (part, number), small rows unless the ids themselves are asked for. ``start`` follows from the
+fails by name where it differs. The parts of a document are put together by (part, number): small
+rows unless the ids themselves are asked for. ``start`` follows from the
 running sum of ids over the ranges: one row a range.
 
 Memory: a task holds one chunk of text (``CHUNK`` characters), ``LANES`` blocks and the model of
 those lanes. A long text is cut at single spaces between words where the tokenizer cuts anyway, so
-it is encoded in chunks.
+it is encoded in chunks, and a word that the task has met before is looked up.
 
 Defined cases: a null or empty text has only the end id; repeated rows are documents each; documents
 of one doc_id come in the order of the hash of their text; null doc_ids come first; special tokens
@@ -47,14 +46,14 @@ from demandloom.llm import range_coder
 from demandloom.session import ship_package
 
 END = 2
-#: Characters of a text encoded together.
-CHUNK = 1 << 18
+#: Characters of a text encoded together, different words that a task remembers.
+CHUNK, WORDS = 1 << 18, 400_000
 
 _BLOCKS = (
-    "part int, block int, begin long, first long, doc_ids array<long>, ends array<int>, whole array<boolean>,"
+    "part int, block int, begin long, first long, doc_ids array<long>, ends array<int>,"
     " ids_crc32 long, payload binary"
 )
-_PIECES = "part int, number long, block int, doc_id long, start long, n long, crc32 long, whole boolean"
+_PIECES = "part int, number long, block int, doc_id long, start long, n long, crc32 long"
 #: A single space with a word on both sides. Byte-level vocabularies always cut before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -66,7 +65,7 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Whole texts to ids; where the vocabulary allows it, long ones in chunks."""
+    """Whole texts to ids; where the vocabulary allows it, in chunks and with a memory of words."""
 
     def __init__(self, path: str | None = None, end: int = END):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
@@ -74,15 +73,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or tokenizer_path())
         cuts = repr(self.tokenizer.pre_tokenizer)
-        self.in_chunks = self.tokenizer.normalizer is None and cuts.startswith("ByteLevel(") and "add_prefix_space=False" in cuts
+        self.by_word = self.tokenizer.normalizer is None and cuts.startswith("ByteLevel(") and "add_prefix_space=False" in cuts
+        self.words: dict[str, bytes] = {}
         self.end = np.array([end], "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         """Ids of a text and the end id, as little-endian unsigned 32-bit integers."""
         text = text or ""
-        chunks = self._chunks(text) if self.in_chunks else [text]
-        found = (self.tokenizer.encode(c, add_special_tokens=False).ids for c in chunks if c)
-        return b"".join(np.array(ids, "<u4").tobytes() for ids in found) + self.end
+        if self.by_word:
+            return b"".join(map(self._words, self._chunks(text))) + self.end
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes() + self.end
 
     @staticmethod
     def _chunks(text: str) -> Iterator[str]:
@@ -92,6 +93,27 @@ class Encoder:
             begin = cut.start()
         yield text[begin:]
 
+    def _words(self, chunk: str) -> bytes:
+        """Ids of a chunk. All its words not in the memory are encoded as one text.
+
+        The first and the last word may have other space around them; they stay at the ends.
+        """
+        first, *others = _CUT.split(chunk)
+        if not others:
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        last = " " + others.pop()
+        middle = [" " + w for w in others]
+        if len(self.words) > WORDS:
+            self.words.clear()
+        new = [w for w in dict.fromkeys(middle) if w not in self.words]
+        found = self.tokenizer.encode("".join([first, *new, last]), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        begins = np.cumsum([len(first), *map(len, new)])  # where new words and the last one begin
+        at = 4 * np.searchsorted(np.array([o for o, _ in found.offsets]), begins)
+        parts = [ids[i:j] for i, j in zip(np.r_[0, at], np.r_[at, len(ids)])]
+        self.words.update(zip(new, parts[1:-1]))
+        return b"".join([parts[0], *map(self.words.__getitem__, middle), parts[-1]])
+
 
 class _Writer:
     """Blocks of one range."""
@@ -100,13 +122,13 @@ class _Writer:
         self.part, self.block, self.begin, self.document = part, 0, 0, -1
         self.ids: list[bytes] = []  # ids not written yet
         self.held = 0
-        self.docs: list[tuple[int, int | None, int, bool, bool]] = []  # (number, doc_id, ids, begins, ends)
+        self.docs: list[tuple[int, int | None, int]] = []  # (number, doc_id, ids not written yet)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.document += 1
         self.ids.append(ids)
         self.held += len(ids) // 4
-        self.docs.append((self.document, doc_id, len(ids) // 4, True, True))
+        self.docs.append((self.document, doc_id, len(ids) // 4))
 
     def flush(self, last: bool) -> pa.RecordBatch | None:
         """All full blocks, and at the end of the range what is left."""
@@ -119,20 +141,18 @@ class _Writer:
         rest = stream[count * size :]
         docs, rows, at = self.docs, [], 0
         for block in blocks:
-            ids, ends, first, begins, filled = [], [], docs[at][0], docs[at][3], 0
+            ids, ends, first, filled = [], [], docs[at][0], 0
             while filled < len(block):
-                number, doc_id, n, starts, stops = docs[at]
+                number, doc_id, n = docs[at]
                 take = min(n, len(block) - filled)
                 filled += take
                 ids.append(doc_id)
                 ends.append(filled)
                 if take < n:  # the document goes on in the next block
-                    docs[at] = (number, doc_id, n - take, False, stops)
-                    rows.append((first, ids, ends, [begins, False]))
+                    docs[at] = (number, doc_id, n - take)
                 else:
                     at += 1
-                    if filled == len(block):
-                        rows.append((first, ids, ends, [begins, True]))
+            rows.append((first, ids, ends))
         self.docs, self.ids, self.held = docs[at:], [rest.tobytes()], len(rest)
         sizes = np.array([len(b) for b in blocks])
         begin = self.begin + np.cumsum(sizes) - sizes
@@ -144,7 +164,6 @@ class _Writer:
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([r[1] for r in rows], pa.list_(pa.int64())),
                 pa.array([r[2] for r in rows], pa.list_(pa.int32())),
-                pa.array([r[3] for r in rows], pa.list_(pa.bool_())),
                 pa.array([zlib.crc32(b.tobytes()) for b in blocks], pa.int64()),
                 pa.array(range_coder.encode(blocks), pa.binary()),
             ],
@@ -189,10 +208,10 @@ def pieces(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
     ship_package(blocks.sparkSession)
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in range(9)]
+        columns: list[list] = [[] for _ in range(8)]
         decoded = range_coder.decode(batch.column("payload").to_pylist())
-        names = ("part", "block", "begin", "first", "doc_ids", "ends", "whole", "ids_crc32")
-        for ids, part, block, begin, first, doc_ids, ends, whole, crc in zip(
+        names = ("part", "block", "begin", "first", "doc_ids", "ends", "ids_crc32")
+        for ids, part, block, begin, first, doc_ids, ends, crc in zip(
             decoded, *(batch.column(c).to_pylist() for c in names)
         ):
             raw = ids.astype("<u4").tobytes()
@@ -201,14 +220,13 @@ def pieces(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
             for i, (doc_id, stop) in enumerate(zip(doc_ids, ends)):
                 at = ends[i - 1] if i else 0
                 one = raw[4 * at : 4 * stop]
-                inside = (i > 0 or whole[0]) and (i < len(ends) - 1 or whole[1])
-                row = (part, first + i, block, doc_id, begin + at, stop - at, zlib.crc32(one), inside, one if with_ids else None)
+                row = (part, first + i, block, doc_id, begin + at, stop - at, zlib.crc32(one), one if with_ids else None)
                 for column, value in zip(columns, row):
                     column.append(value)
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         fields = [c.split()[0] for c in _PIECES.split(", ")] + ["ids"]
         arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-        return pa.RecordBatch.from_arrays(arrays[: 8 + with_ids], names=fields[: 8 + with_ids])
+        return pa.RecordBatch.from_arrays(arrays[: 7 + with_ids], names=fields[: 7 + with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,17 +245,13 @@ def _starts(blocks: DataFrame) -> DataFrame:
 
 def read(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document with its ids, the end id included."""
-    found = pieces(blocks, with_ids=True)
-    some = found.where(~F.col("whole")).groupBy("part", "number").agg(
+    parts = pieces(blocks, with_ids=True).groupBy("part", "number").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"),
         F.array_sort(F.collect_list(F.struct("block", "ids"))).alias("p"),  # the blocks of one document
     )
-    joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    rows = found.where("whole").select("part", "doc_id", "start", "ids").unionByName(
-        some.select("part", "doc_id", "start", joined.alias("ids"))
-    )
-    rows = rows.join(F.broadcast(_starts(blocks)), "part")  # one row a range
-    rows = rows.select("doc_id", (F.col("before") + F.col("start")).alias("start"), "ids")
+    joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids")
+    rows = parts.join(F.broadcast(_starts(blocks)), "part")  # one row a range
+    rows = rows.select("doc_id", (F.col("before") + F.col("start")).alias("start"), joined)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,8 +289,7 @@ def join_crc32(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.
 
 def summary(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the decoded blocks."""
-    found = pieces(blocks)
-    some = found.where(~F.col("whole")).groupBy("part", "number").agg(
+    parts = pieces(blocks).groupBy("part", "number").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"),
         F.array_sort(F.collect_list(F.struct("block", "n", "crc32"))).alias("p"),  # the blocks of one document
     )
@@ -298,8 +311,8 @@ def summary(blocks: DataFrame) -> DataFrame:
                 names=["part", "doc_id", "start", "n", "crc32"],
             )
 
-    joined = some.select("part", "doc_id", "start", "p").mapInArrow(run, "part int, doc_id long, start long, n long, crc32 long")
-    rows = found.where("whole").select("part", "doc_id", "start", "n", "crc32").unionByName(joined)
+    columns = parts.select("part", "doc_id", "start", "p")
+    rows = columns.mapInArrow(run, "part int, doc_id long, start long, n long, crc32 long")
     return rows.join(F.broadcast(_starts(blocks)), "part").select(  # one row a range
         "doc_id", (F.col("before") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32")
     )
