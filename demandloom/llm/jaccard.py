@@ -50,8 +50,10 @@ LEAST = [0, 1, 2, 4, 6, 16, 64, 256]
 CROWD = 4
 #: Bounded sample behind the common shingles: documents, and how many of them make a shingle common.
 SAMPLE_DOCS, COMMON = 20_000, 12
-#: Words and signatures that a task holds at a time.
-WORD_CACHE, HELD, ROWS_AT_ONCE = 400_000, 1_500_000, 128
+#: Words and signatures that a task holds at a time; rows and shingles whose signatures are cut together.
+WORD_CACHE, HELD, ROWS_AT_ONCE, SHINGLES_AT_ONCE = 200_000, 500_000, 128, 100_000
+#: Hash buckets of signatures for each shuffle partition: a task holds one bucket at a time.
+BUCKETS = 8
 #: Slices of the centres, compared one after the other: the shuffled sets of one slice stand on the disks at a time.
 SLICES = 4
 
@@ -206,38 +208,67 @@ def _meet(blocks: DataFrame, parts: int, buckets: int) -> DataFrame:
     48 bits of a key travel beside its bucket; a clash of two keys only adds candidates.
     """
 
+    def shared(bucket: int, rows: list[bytes]) -> pa.RecordBatch:
+        sizes = [len(r) // 15 for r in rows]
+        wide = np.zeros((sum(sizes), 8), np.uint8)
+        wide[:, :6] = np.concatenate([np.frombuffer(r, np.uint8, 6 * n).reshape(n, 6) for r, n in zip(rows, sizes)])
+        key = wide.view(np.int64).ravel()
+        owner = np.concatenate([np.frombuffer(r, np.int64, n, 6 * n) for r, n in zip(rows, sizes)])
+        mark = np.concatenate([np.frombuffer(r, np.uint8, n, 14 * n) for r, n in zip(rows, sizes)])
+        order = np.lexsort((mark & 31, owner, key))
+        key, owner, mark = key[order], owner[order], mark[order]
+        start = np.r_[True, key[1:] != key[:-1]]
+        ends = np.r_[np.flatnonzero(start)[1:], len(key)] - 1
+        several = (owner[start] != owner[ends])[np.cumsum(start) - 1]
+        keep = several | (mark >= 32)
+        keep &= np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | ((mark & 31)[1:] != (mark & 31)[:-1])] | (mark >= 32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[keep] * buckets + bucket), pa.array(owner[keep]), pa.array((mark[keep] & 31).astype(np.int32))],
+            names=["sig", "set_id", "tag"],
+        )
+
     def meet(batches):
-        held: dict[int, list[bytes]] = {}
+        now, held = None, []
         for batch in batches:
-            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(bucket, []).append(block)
-        while held:
-            bucket, rows = held.popitem()
-            sizes = [len(r) // 15 for r in rows]
-            wide = np.zeros((sum(sizes), 8), np.uint8)
-            wide[:, :6] = np.concatenate([np.frombuffer(r, np.uint8, 6 * n).reshape(n, 6) for r, n in zip(rows, sizes)])
-            key = wide.view(np.int64).ravel()
-            owner = np.concatenate([np.frombuffer(r, np.int64, n, 6 * n) for r, n in zip(rows, sizes)])
-            mark = np.concatenate([np.frombuffer(r, np.uint8, n, 14 * n) for r, n in zip(rows, sizes)])
-            order = np.lexsort((mark & 31, owner, key))
-            key, owner, mark = key[order], owner[order], mark[order]
-            start = np.r_[True, key[1:] != key[:-1]]
-            ends = np.r_[np.flatnonzero(start)[1:], len(key)] - 1
-            several = (owner[start] != owner[ends])[np.cumsum(start) - 1]
-            keep = several | (mark >= 32)
-            keep &= np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | ((mark & 31)[1:] != (mark & 31)[:-1])] | (mark >= 32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[keep] * buckets + bucket), pa.array(owner[keep]), pa.array((mark[keep] & 31).astype(np.int32))],
-                names=["sig", "set_id", "tag"],
-            )
-
-    return blocks.repartition(parts, "bucket").mapInArrow(meet, "sig long, set_id long, tag int").distinct()
+            for bucket, block in zip(batch.column(0), batch.column(1)):
+                bucket = bucket.as_py()
+                if bucket != now and held:
+                    yield shared(now, held)
+                    held = []
+                now = bucket
+                held.append(block.as_py())
+        if held:
+            yield shared(now, held)
+
+    sorted_blocks = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return sorted_blocks.mapInArrow(meet, "sig long, set_id long, tag int").distinct()
+
+
+def _portions(docs: list[bytes], shingler: Shingler, seen: set[int]):
+    """Sets and ids not in ``seen``, as many at a time as the bounds allow."""
+    sets, owners, held = [], [], 0
+    for text in docs:
+        shingles = shingler.of(text)
+        owner = set_id(shingles) if len(shingles) else None
+        if owner is None or owner in seen:
+            continue
+        if len(seen) >= WORD_CACHE:
+            seen.clear()
+        seen.add(owner)
+        if sets and (len(sets) == ROWS_AT_ONCE or held + len(shingles) > SHINGLES_AT_ONCE):
+            yield sets, owners
+            sets, owners, held = [], [], 0
+        sets.append(shingles)
+        owners.append(owner)
+        held += len(shingles)
+    if sets:
+        yield sets, owners
 
 
 def _shared_signatures(docs: DataFrame, size: int, percent: int, common) -> DataFrame:
     """(sig, set_id, tag): signatures that at least two different sets have."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts
+    buckets = BUCKETS * parts
 
     def cut(batches):
         shingler, bands, frequent = Shingler(size), Bands(percent), common.value
@@ -248,19 +279,7 @@ def _shared_signatures(docs: DataFrame, size: int, percent: int, common) -> Data
             return _emit(np.concatenate(sigs), np.concatenate(ids), np.concatenate(tags), buckets)
 
         for batch in batches:
-            texts = bytes_of(batch.column(1))
-            for start in range(0, len(texts), ROWS_AT_ONCE):
-                sets, owners = [], []
-                for text in texts[start : start + ROWS_AT_ONCE]:
-                    shingles = shingler.of(text)
-                    owner = set_id(shingles) if len(shingles) else None
-                    if owner is None or owner in seen:
-                        continue
-                    if len(seen) >= WORD_CACHE:
-                        seen.clear()
-                    seen.add(owner)
-                    sets.append(shingles)
-                    owners.append(owner)
+            for sets, owners in _portions(bytes_of(batch.column(1)), shingler, seen):
                 found, number, tag = signatures(sets, bands, frequent)
                 if not len(found):
                     continue
@@ -305,24 +324,26 @@ def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, size: int) -> DataFrame:
     def run(batches):
         shingler = Shingler(size)
         seen: set[int] = set()
-        for batch in batches:
-            counts, keys, arrays = [], [], []
-            for text in bytes_of(batch.column(1)):
-                shingles = shingler.of(text)
-                owner = set_id(shingles) if len(shingles) else None
-                counts.append(len(shingles))
-                keys.append(owner)
-                arrays.append(shingles.view(np.int64) if owner not in seen else np.zeros(0, np.int64))
-                if len(seen) >= WORD_CACHE:
-                    seen.clear()
-                seen.add(owner)
-            offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *arrays])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), lists],
-                names=["doc_id", "n_shingles", "set_id", "shingles"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                counts, keys, arrays = [], [], []
+                for text in bytes_of(batch.column(1)):
+                    shingles = shingler.of(text)
+                    owner = set_id(shingles) if len(shingles) else None
+                    counts.append(len(shingles))
+                    keys.append(owner)
+                    arrays.append(shingles.view(np.int64) if owner not in seen else np.zeros(0, np.int64))
+                    if len(seen) >= WORD_CACHE:
+                        seen.clear()
+                    seen.add(owner)
+                offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.int64), *arrays])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), lists],
+                    names=["doc_id", "n_shingles", "set_id", "shingles"],
+                )
 
     every = docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, shingles array<long>")
     wanted = broadcast_within(ids.withColumn("wanted", F.lit(True)), n_ids, 32)
@@ -433,7 +454,8 @@ def _pairs(spokes: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     ``named``: (set_id, n, label).
     """
     parts = int(spokes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prefixes = stage(_meet(_prefix_keys(spokes, percent, parts, 2 * parts), parts, 2 * parts), "prefixes")
+    buckets = BUCKETS * parts
+    prefixes = stage(_meet(_prefix_keys(spokes, percent, parts, buckets), parts, buckets), "prefixes")
     release(spokes.sparkSession)
     met = prefixes.join(named, "set_id")
     several = met.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("sig")
