@@ -52,8 +52,8 @@ CROWD = 4
 SAMPLE_DOCS, COMMON = 20_000, 12
 #: Words and signatures that a task holds at a time; rows and shingles whose signatures are cut together.
 WORD_CACHE, HELD, ROWS_AT_ONCE, SHINGLES_AT_ONCE = 200_000, 500_000, 128, 100_000
-#: Hash buckets of signatures for each shuffle partition: a task holds one bucket at a time.
-BUCKETS = 8
+#: Hash buckets of signatures, and of the far fewer prefixes, for each shuffle partition: a task holds one at a time.
+BUCKETS, PREFIX_BUCKETS = 8, 2
 #: Slices of the centres, compared one after the other: the shuffled sets of one slice stand on the disks at a time.
 SLICES = 4
 
@@ -454,7 +454,7 @@ def _pairs(spokes: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     ``named``: (set_id, n, label).
     """
     parts = int(spokes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS * parts
+    buckets = PREFIX_BUCKETS * parts
     prefixes = stage(_meet(_prefix_keys(spokes, percent, parts, buckets), parts, buckets), "prefixes")
     release(spokes.sparkSession)
     met = prefixes.join(named, "set_id")
