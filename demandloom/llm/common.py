@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 from collections.abc import Callable, Iterator
@@ -21,12 +22,41 @@ LOWER_BYTES = bytes(LOWER.get(i, i) for i in range(256))
 BROADCAST_BYTES = 64 << 20
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables; Python workers of the job can import the package afterwards."""
+#: Rows of an Arrow batch. Texts are long, and a batch stands in the executor and in its Python worker at once.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Python workers of the session's jobs can import the package, and get batches of bounded size."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the given tables, in a prepared session."""
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def give_back() -> None:
+    """At the end of a task: its worker serves other tasks, so free memory goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, which gives memory back after its last batch."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def map_rows(df: DataFrame, schema: str, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` where ``build`` makes the per-task function once per task, inside the worker."""
 
@@ -36,7 +66,7 @@ def map_rows(df: DataFrame, schema: str, build: Callable[[], Callable[[pa.Record
             if batch.num_rows:
                 yield step(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:

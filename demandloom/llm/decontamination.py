@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import LOWER_BYTES, bytes_of
+from demandloom.llm.common import LOWER_BYTES, bytes_of, tidy
 from demandloom.sources.staging import stage
 
 WINDOW = 10
@@ -166,7 +166,7 @@ def _one_pass(found: DataFrame, block, window: int, keep_text: bool) -> DataFram
                 names=["doc_id", "text", "n_words", "starts", "ends", "items"],
             )
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(tidy(run), schema)
 
 
 def _covered(starts: Column, ends: Column) -> Column:
@@ -207,7 +207,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                 clean = [not tables.search([number(w, 0) for w in words(t)])[1] for t in texts]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = kept.mapInArrow(tidy(run), docs.schema)
     return kept
 
 

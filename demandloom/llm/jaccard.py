@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import LOWER_BYTES, broadcast_within, bytes_of, mix, release
+from demandloom.llm.common import LOWER_BYTES, broadcast_within, bytes_of, mix, release, tidy
 from demandloom.llm.graph import components
 from demandloom.sources.staging import discard, stage
 
@@ -167,7 +167,7 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
         values, counts = values[counts > 1], counts[counts > 1]  # a common one is met twice in some task
         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["s", "n"])
 
-    counted = sample.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counted = sample.mapInArrow(tidy(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     most = counted.orderBy(F.desc("n"), "s").limit(1 << 18).select("s").toArrow().column(0).to_numpy()
     return np.sort(most.astype(np.int64).view(np.uint64))
 
@@ -241,7 +241,7 @@ def _meet(blocks: DataFrame, parts: int, buckets: int) -> DataFrame:
             yield shared(now, held)
 
     sorted_blocks = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return sorted_blocks.mapInArrow(meet, "sig long, set_id long, tag int").distinct()
+    return sorted_blocks.mapInArrow(tidy(meet), "sig long, set_id long, tag int").distinct()
 
 
 def _portions(docs: list[bytes], shingler: Shingler, seen: set[int]):
@@ -293,7 +293,7 @@ def _shared_signatures(docs: DataFrame, size: int, percent: int, common) -> Data
         if held:
             yield emit()
 
-    blocks = docs.mapInArrow(cut, "bucket int, block binary")
+    blocks = docs.mapInArrow(tidy(cut), "bucket int, block binary")
     return _meet(blocks, parts, buckets)
 
 
@@ -345,7 +345,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, size: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_id", "shingles"],
                 )
 
-    every = docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, shingles array<long>")
+    every = docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, set_id long, shingles array<long>")
     wanted = broadcast_within(ids.withColumn("wanted", F.lit(True)), n_ids, 32)
     filled = F.when(F.col("wanted") & (F.size("shingles") > 0), F.col("shingles"))
     return every.join(wanted, "set_id", "left").select("doc_id", "n_shingles", "set_id", filled.alias("shingles"))
@@ -435,7 +435,7 @@ def _prefix_keys(spokes: DataFrame, percent: int, parts: int, buckets: int) -> D
         if held:
             yield _emit(np.concatenate(keys), np.concatenate(owners), np.concatenate(tags), buckets)
 
-    return spokes.select("p", "np", "x", "nx", "linked", "m", "head").mapInArrow(cut, "bucket int, block binary")
+    return spokes.select("p", "np", "x", "nx", "linked", "m", "head").mapInArrow(tidy(cut), "bucket int, block binary")
 
 
 def _most_of(n: int, percent: int) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import map_rows, texts_of
+from demandloom.llm.common import map_rows, texts_of, tidy
 
 #: Fixed patterns, in the order of their kinds.
 ASSIGN = re.compile(
@@ -346,4 +346,4 @@ def redact(docs: DataFrame, model: Field, mark: str = "[REDACTED]") -> DataFrame
                 columns[sized] = pa.array(kept, batch.schema.field(sized).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demandloom.llm import range_coder
+from demandloom.llm.common import tidy
 from demandloom.session import ship_package
 
 END = 2
@@ -191,7 +192,7 @@ def blocks_of(docs: DataFrame, path: str | None = None, end: int = END) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("dealt")]
     dealt = rows.withColumn("dealt", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    return dealt.select("doc_id", "text").mapInArrow(run, _BLOCKS)
+    return dealt.select("doc_id", "text").mapInArrow(tidy(run), _BLOCKS)
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> None:
@@ -233,7 +234,7 @@ def pieces(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
             for at in range(0, batch.num_rows, range_coder.LANES):
                 yield decode(batch.slice(at, range_coder.LANES))
 
-    return blocks.mapInArrow(run, _PIECES + (", ids binary" if with_ids else ""))
+    return blocks.mapInArrow(tidy(run), _PIECES + (", ids binary" if with_ids else ""))
 
 
 def _starts(blocks: DataFrame) -> DataFrame:

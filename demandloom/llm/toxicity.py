@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.llm.common import map_rows, texts_of
+from demandloom.llm.common import map_rows, texts_of, tidy
 
 #: Bounded sample of labelled documents, bounds of the lexicon, least share of toxic documents of a term.
 MAX_LABELLED, MAX_TERMS, LEAST_SHARE = 20_000, 3000, 0.003
@@ -140,7 +140,7 @@ def _counted(sample: DataFrame, of_text) -> DataFrame:
             names=["term", "toxic", "clean"],
         )
 
-    counted = sample.mapInArrow(run, "term string, toxic long, clean long")
+    counted = sample.mapInArrow(tidy(run), "term string, toxic long, clean long")
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -265,4 +265,4 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD)
             texts = texts_of(batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array([score_of(t, lexicon, automaton) < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
