@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -126,10 +127,12 @@ def backtest(
             where = F.substring_index("item_id", "@", -1).cast("date")
             whose = F.expr("substring(item_id, 1, length(item_id) - 11)")  # without @ and the date
             parts.append(scored(name, found.withColumns({"origin": where, "item_id": whose})))
-        else:
-            parts += [
-                scored(name, forecast(history.filter(F.col("date") < F.lit(d)), horizon).withColumn("origin", F.lit(d))) for d in days
-            ]
+    def fitted(fit: tuple[str, dt.date]) -> DataFrame:
+        name, day = fit
+        return scored(name, models[name](history.filter(F.col("date") < F.lit(day)), horizon).withColumn("origin", F.lit(day)))
+
+    with ThreadPoolExecutor(4) as pool:  # fits are many small jobs that wait for the driver
+        parts += pool.map(fitted, [(name, day) for name in models if name not in apart for day in days])
     if not parts:
         return dense.sparkSession.createDataFrame(
             [], "model string, item_id string, origin date, horizon int, date date, y_true double, y_pred double"
