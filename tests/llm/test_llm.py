@@ -506,5 +506,5 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {f"op{k}_" for k in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in names if re.match(r"op\d+_", n)}
+    assert {f"op{k}_" for k in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in names if re.match(r"op\d+_", n)}
     assert "pipeline" in names
