@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandloom.operators.guards import missing_counts
+from demandloom.sources.staging import stage_lookup
 
 
 def dataset_overview(df: DataFrame, date: str = "date", store: str = "gln", product: str | None = "gb_id") -> DataFrame:
@@ -39,39 +38,45 @@ def missingness_table(df: DataFrame, top_n: int = 30) -> DataFrame:
     )
 
 
-def high_correlation_pairs(df: DataFrame, threshold: float = 0.90, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of numeric columns with |Pearson r| >= threshold (rows where both are known).
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(feature_a, feature_b, n, corr): Pearson r of every pair of numeric columns.
 
-    All pairs are aggregates of a single pass over the rows.
+    A row becomes its pairs of known values, and moments are partial aggregates keyed by the pair:
+    the plan has the same size for any number of columns, and what is shuffled is one row of
+    moments per pair and task. Only rows where both values are known count; a column that is
+    constant there has no correlation (NULL).
     """
-    numeric = [
-        f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude
-    ]
-    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-
-    def correlation(a: str, b: str):
-        x, y = value(a), value(b)
-        # F.corr fails on a constant column; here it has no correlation
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.try_divide(F.covar_pop(x, y), spread)
-
-    pairs = list(combinations(numeric, 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr_abs double")
-    stats = df.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("feature_a"),
-                    F.lit(b).alias("feature_b"),
-                    F.abs(correlation(a, b)).alias("corr_abs"),
-                )
-                for a, b in pairs
-            ]
-        ).alias("pairs")
+    if columns is None:
+        columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, n bigint, corr double")
+    value = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+    names = F.array(*[F.lit(c) for c in columns])
+    first = df.select(F.array(*[value(c) for c in columns]).alias("row")).select("row", F.posexplode("row").alias("i", "x"))
+    rest = F.slice("row", F.col("i") + 2, len(columns))
+    pairs = (
+        first.filter(F.col("x").isNotNull())
+        .select("i", "x", F.posexplode(rest).alias("k", "y"))
+        .filter(F.col("y").isNotNull())
+    )
+    moments = pairs.groupBy("i", "k").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.covar_pop("x", "y").alias("xy"),
+        (F.stddev_pop("x") * F.stddev_pop("y")).alias("spread"),
+    )
+    return moments.select(
+        F.get(names, F.col("i")).alias("feature_a"),
+        F.get(names, F.col("i") + F.col("k") + 1).alias("feature_b"),
+        "n",
+        F.try_divide("xy", "spread").alias("corr"),
     )
+
+
+def high_correlation_pairs(df: DataFrame, threshold: float = 0.90, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of numeric columns with |Pearson r| >= threshold (rows where both are known)."""
     return (
-        stats.select(F.inline("pairs"))
+        correlation_pairs(df.drop(*exclude))
+        .select("feature_a", "feature_b", F.abs("corr").alias("corr_abs"))
         .filter(F.col("corr_abs") >= threshold)
         .orderBy(F.desc("corr_abs"), "feature_a", "feature_b")
     )
@@ -164,10 +169,42 @@ def anomalies_by_store(dispersion: DataFrame, suspicious: DataFrame) -> DataFram
     )
 
 
-def anomaly_sample(cases: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
-    """The same ``n`` pseudo-random cases on every run: smallest keyed hashes (top-k, no full sort)."""
-    keys = [c for c in ("gln", "gb_id", "date") if c in cases.columns]
-    return cases.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+CASE_KEYS = ["gln", "gb_id", "date"]
+
+
+def anomaly_sample(cases: DataFrame, n: int = 5, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """The same ``n`` pseudo-random cases on every run, of each group of ``by`` if given.
+
+    A bottom-k sample by the MD5 of seed and keys: each task keeps its own ``n`` smallest (of each
+    group) before anything is shuffled, so no table and no hot group is sorted whole. A sample of
+    all cases then holds the smallest of what the tasks kept; ties of the hash fall to the keys.
+    """
+    keys = [c for c in CASE_KEYS if c in cases.columns]
+    order = [F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys])), *keys]
+    if not by:
+        return cases.orderBy(*order).limit(n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return cases.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
+def price_paths(sample: DataFrame, prices: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
+    """Price rows of the sampled cases: the rows of ``prices`` with the same ``keys``.
+
+    ``facts`` are the columns kept from the sample; its date is called ``case_date``. A sample has a
+    bounded number of rows per group, so it is broadcast behind a count.
+    """
+    named = sample.select(*keys, *[F.col(c) for c in facts], F.col("date").alias("case_date")).distinct()
+    return prices.join(stage_lookup(named, "sampled_cases"), keys)
+
+
+def dispersion_paths(cases: DataFrame, hourly: DataFrame, n: int = 5, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """Hourly prices of the sampled days whose prices vary."""
+    return price_paths(anomaly_sample(cases, n, seed, by), hourly, CASE_KEYS, ["rel_diff"])
+
+
+def suspicious_paths(cases: DataFrame, daily: DataFrame, n: int = 5, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """Daily prices of the whole series of each sampled suspicious row."""
+    return price_paths(anomaly_sample(cases, n, seed, by), daily, CASE_KEYS[:2], [])
 
 
 def monthly_store_sales(sales: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ hot stores, products or barcodes were already summed to days before any window s
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +18,7 @@ from demandloom.sources.staging import stage_lookup
 SERIES = ["gln", "gb_id"]
 # Product that shops carry over to the next day (fixed value).
 CARRYOVER_PRODUCT_ID = "655629783174417F92A38D18897A69EE"
+EMA_BLOCK = 32  # rows whose maps are composed one by one; blocks are composed above them
 NEVER = 999  # distance to an event that has not happened yet (fixed value)
 
 
@@ -80,27 +80,56 @@ def add_rolling_mean_features(
 
 
 def _previous_ema(df: DataFrame, span: int) -> DataFrame:
-    """Exponential mean of the rows before the current one (recursive, so a pandas group).
+    # the series columns come first: their exchange also serves the windows per weekday
+    df = exponential_mean_before(df, SERIES, "rolling_mean_all", span)
+    return exponential_mean_before(df, [*SERIES, "day_of_week"], "rolling_mean", span)
 
-    A group is one series: as many rows as the calendar has days.
+
+def exponential_mean_before(
+    df: DataFrame, keys: list[str], name: str, span: int, value: str = "quantity", block: int = EMA_BLOCK
+) -> DataFrame:
+    """Exponential mean of the rows before the current one, as a scan of affine maps.
+
+    A row takes the mean m to a * m + b. Maps compose, so a block of ``block`` rows is one map
+    too: the state before a row is the map of the earlier rows of its block applied to the state
+    that the maps of the earlier blocks lead to. A row folds at most ``block`` maps, a block one
+    map per earlier block.
+
+    The first known value starts the mean (NULL before it). A missing value keeps the mean and
+    makes it older: the next value weighs as much more as one more step would have given it.
     """
-    order = ["day", *[c for c in FAN_OUT if c in df.columns]]
-
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        mean = lambda s: s.shift(1).ewm(span=span, adjust=False).mean()
-        return rows.assign(
-            rolling_mean=rows.groupby("day_of_week")["quantity"].transform(mean),
-            rolling_mean_all=mean(rows["quantity"]),
-        ).drop(columns="day")
-
-    numeric = df.withColumn("day", F.unix_date("date"))
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("rolling_mean", T.DoubleType()), T.StructField("rolling_mean_all", T.DoubleType())]
+    weight = 2.0 / (span + 1)
+    window = _ordered(df, *keys)
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.withColumn("_x", x).withColumn("_n", F.row_number().over(window) - 1)
+    rows = rows.withColumn("_seen", F.max(F.when(F.col("_x").isNotNull(), F.col("_n"))).over(earlier))
+    old = F.pow(F.lit(1.0 - weight), F.col("_n") - F.col("_seen"))
+    a = F.when(F.col("_seen").isNull(), F.lit(0.0)).otherwise(old / (old + weight))
+    step = F.struct(a.alias("a"), ((F.lit(1.0) - a) * F.col("_x")).alias("b"))
+    rows = rows.withColumns(
+        {"_step": F.when(F.col("_x").isNotNull(), step), "_block": F.floor(F.col("_n") / block)}
+    )
+    here = Window.partitionBy(*keys, "_block").orderBy("_n")
+    rows = rows.withColumn("_maps", F.collect_list("_step").over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    last = F.col("_n") % block == block - 1
+    with_own = F.concat("_maps", F.array_compact(F.array("_step")))
+    rows = rows.withColumn("_whole", F.when(last, _composed(with_own)))
+    entry = F.when(F.col("_n") % block == 0, _composed(F.collect_list("_whole").over(earlier))["b"])
+    rows = rows.withColumn("_entry", entry)
+    entry = F.max("_entry").over(here.rowsBetween(Window.unboundedPreceding, 0))
+    inner = _composed(F.col("_maps"))
+    mean = F.when(F.col("_seen").isNotNull(), inner["a"] * entry + inner["b"])
+    helpers = ["_x", "_n", "_seen", "_step", "_block", "_maps", "_whole", "_entry"]
+    return rows.withColumn(name, mean).drop(*helpers)
+
+
+def _composed(maps: Column) -> Column:
+    """One affine map for a list of them, applied from first to last."""
+    identity = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    return F.aggregate(
+        maps, identity, lambda m, n: F.struct((m["a"] * n["a"]).alias("a"), (n["a"] * m["b"] + n["b"]).alias("b"))
     )
-    smoothed = numeric.groupBy(*SERIES).applyInPandas(smooth, schema)
-    no_nan = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
-    return smoothed.withColumns({c: no_nan(c) for c in ("rolling_mean", "rolling_mean_all")})
 
 
 def add_days_since_events(store_daily: DataFrame) -> DataFrame:

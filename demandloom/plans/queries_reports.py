@@ -11,7 +11,7 @@ from demandloom.plans import catalog
 from demandloom.plans.catalog import query
 from demandloom.plans.inputs import PRODUCTS, Inputs, as_of
 from demandloom.plans.queries_features import product_series_of
-from demandloom.plans.queries_tables import DAILY, _dispersion
+from demandloom.plans.queries_tables import DAILY, _dispersion, _hourly
 from demandloom.sources.staging import stage
 
 # --- profiles ------------------------------------------------------------------------
@@ -158,11 +158,53 @@ def anomalies_by_store(inputs: Inputs) -> DataFrame:
     return profile.anomalies_by_store(_dispersion(inputs), _suspicious(inputs))
 
 
-@query("anomaly_sample", DAILY)
+_CASE_HASH = "md5('42|' || gln || '|' || gb_id || '|' || strftime(date, '%Y-%m-%d')), gln, gb_id, date"
+
+
+@query("anomaly_sample", DAILY, "suspicious", f"SELECT * FROM suspicious ORDER BY {_CASE_HASH} LIMIT 5")
 def anomaly_sample(inputs: Inputs) -> DataFrame:
     return profile.anomaly_sample(_suspicious(inputs), 5)
 
 
+def _sampled(cases: str) -> str:
+    return f"SELECT *, date AS case_date FROM {cases} QUALIFY row_number() OVER (PARTITION BY gln ORDER BY {_CASE_HASH}) <= 5"
+
+
+@query(
+    "dispersion_sample",
+    "gln:long gb_id:long date:date mean_price:double std_price:double rel_diff:double",
+    "dispersion",
+    f"SELECT * FROM dispersion ORDER BY {_CASE_HASH} LIMIT 5",
+)
+def dispersion_sample(inputs: Inputs) -> DataFrame:
+    return profile.anomaly_sample(_dispersion(inputs), 5)
+
+
+@query(
+    "dispersion_paths",
+    "gln:long gb_id:long case_date:date from_hour:int unit_price:double quantity:long rel_diff:double",
+    "hourly dispersion",
+    f"""SELECT h.gln, h.gb_id, c.case_date, h.from_hour, h.unit_price, h.quantity, c.rel_diff
+        FROM hourly h JOIN ({_sampled("dispersion")}) c ON c.gln = h.gln AND c.gb_id = h.gb_id AND c.date = h.date""",
+)
+def dispersion_paths(inputs: Inputs) -> DataFrame:
+    """Hourly prices of five varying days of every store."""
+    hourly = stage(_hourly(inputs), "hourly")
+    return profile.dispersion_paths(cleaning.price_dispersion(hourly), hourly, 5, by=("gln",))
+
+
+@query(
+    "suspicious_paths",
+    "gln:long gb_id:long case_date:date date:date unit_price:double",
+    "daily suspicious",
+    f"""SELECT d.gln, d.gb_id, c.case_date, d.date, d.unit_price
+        FROM daily d JOIN ({_sampled("suspicious")}) c ON c.gln = d.gln AND c.gb_id = d.gb_id""",
+)
+def suspicious_paths(inputs: Inputs) -> DataFrame:
+    """Price history of the series of five suspicious rows of every store."""
+    return profile.suspicious_paths(_suspicious(inputs), catalog.daily(inputs), 5, by=("gln",))
+
+
 @query(
     "monthly_store_sales",
     "month:string gln:long quantity:long",

@@ -1,6 +1,7 @@
 """Quantiles, metrics, profiles, forecasts, models."""
 
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
@@ -61,6 +62,29 @@ def test_missingness_and_correlation(spark):
     assert values(profile.high_correlation_pairs(df.select("a", "b", "d")), "feature_a", "feature_b") == [("a", "b")]
 
 
+def test_correlation_of_many_columns(spark):
+    """100 columns with gaps: every pair equals pandas, and the plan names no pair."""
+    rng = np.random.default_rng(8)
+    data = rng.normal(0, 1, (60, 100)) + 0.5 * rng.normal(0, 1, (60, 1)) + 1e6
+    data[rng.random(data.shape) < 0.1] = np.nan
+    data[:, 7] = 3.0
+    frame = pd.DataFrame(data, columns=[f"c.{i}" for i in range(100)])
+    table = profile.correlation_pairs(spark.createDataFrame(frame).repartition(5))
+    expected = frame.corr()
+    got = {(r["feature_a"], r["feature_b"]): r["corr"] for r in table.collect()}
+    assert len(got) == 100 * 99 // 2
+    for (a, b), r in got.items():
+        assert r is None if "c.7" in (a, b) else abs(r - expected.loc[a, b]) < 1e-9
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("covar_pop") == 1 and "Python" not in plan
+
+
+def test_correlation_without_pairs(spark):
+    empty = spark.createDataFrame([], "a double, b double, t string")
+    assert profile.correlation_pairs(empty).count() == 0
+    assert profile.correlation_pairs(empty.select("a")).count() == 0
+
+
 def test_product_mix_by_day_and_month(rows):
     sales = rows("gln long, gb_id long, date date, quantity long", (1, 1, "2024-01-31", 2), (1, 2, "2024-02-01", 3), (1, 1, "2024-03-05", 9))
     assert len(values(profile.product_mix(sales, "D", "2024-01-31"), "period")) == 2
@@ -77,6 +101,28 @@ def test_anomaly_sample_is_repeatable(rows):
     assert first == values(profile.anomaly_sample(cases.repartition(7), 5), "gln") and len(first) == 5
 
 
+def test_anomaly_sample_of_each_group(rows):
+    cases = rows("gln long, gb_id long, date date", *[(i % 4, i, "2024-01-01") for i in range(41)])
+    chosen = profile.anomaly_sample(cases.repartition(6), 3, by=("gln",))
+    assert {r["gln"]: r["count"] for r in chosen.groupBy("gln").count().collect()} == {0: 3, 1: 3, 2: 3, 3: 3}
+    key = lambda i: hashlib.md5(f"42|{i % 4}|{i}|2024-01-01".encode()).hexdigest()
+    best = sorted((i for i in range(41) if i % 4 == 2), key=key)[:3]
+    assert values(chosen.filter("gln = 2"), "gb_id") == sorted((i,) for i in best)
+
+
+def test_price_paths(rows):
+    cases = rows("gln long, gb_id long, date date, rel_diff double", (1, 1, "2024-01-02", 0.3))
+    hourly = rows(
+        "gln long, gb_id long, date date, from_hour int, unit_price double",
+        (1, 1, "2024-01-02", 8, 10.0), (1, 1, "2024-01-02", 9, 20.0), (1, 1, "2024-01-03", 8, 10.0), (2, 1, "2024-01-02", 8, 1.0),
+    )
+    paths = profile.dispersion_paths(cases, hourly)
+    assert values(paths, "from_hour", "unit_price", "rel_diff") == [(8, 10.0, 0.3), (9, 20.0, 0.3)]
+    history = profile.suspicious_paths(cases, hourly, 1)
+    assert history.count() == 3 and history.select("case_date").distinct().count() == 1
+    assert profile.suspicious_paths(cases.limit(0), hourly, 1).count() == 0
+
+
 # --- forecasts -----------------------------------------------------------------------
 
 

@@ -289,3 +289,29 @@ def test_short_series_get_every_horizon_day(rows):
     for forecast in (tabular.direct_tabular, tabular.recursive_tabular):
         counts = forecast(dense, horizon=7).groupBy("item_id").count()
         assert values(counts, "item_id", "count") == [("long", 7), ("short", 7)]
+
+
+@pytest.mark.parametrize(("span", "block"), [(5, 32), (1, 4), (30, 3), (5, 1)])
+def test_exponential_mean_equals_pandas(spark, span, block):
+    """Also over many blocks, gaps of missing values and a series that starts with one."""
+    rng = random.Random(span)
+    start = dt.date(2020, 1, 1)
+    data = []
+    for store in range(3):
+        known = [None if rng.random() < 0.2 else float(rng.choice([0, 1, 50, 1e6])) for _ in range(150)]
+        known[0] = None if store == 1 else known[0]
+        data += [(store, 7, start + dt.timedelta(days=d), v) for d, v in enumerate(known)]
+    df = spark.createDataFrame(data, "gln long, gb_id long, date date, quantity double").repartition(4)
+    got = windows.exponential_mean_before(df, ["gln", "gb_id"], "m", span, block=block)
+    assert "_n" not in got.columns
+    frame = pd.DataFrame(data, columns=["gln", "gb_id", "date", "quantity"])
+    expected = frame.groupby("gln")["quantity"].transform(lambda s: s.shift(1).ewm(span=span, adjust=False).mean())
+    found = got.orderBy("gln", "date").toPandas()["m"].to_numpy(dtype=float)
+    assert np.allclose(found, expected.to_numpy(), rtol=1e-12, equal_nan=True)
+
+
+def test_exponential_mean_stays_in_the_jvm(spark):
+    table = windows.add_rolling_mean_features(random_sales(spark), use_ema=True)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
