@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandloom.forecast.search import propose
 from demandloom.operators.datasets import (
     encode_product,
     encode_store,
@@ -29,14 +29,15 @@ DEFAULTS = {
     "gbt": {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1},
     "rf": {"numTrees": 30, "maxDepth": 8},
 }
-# Search ranges (fixed values): trees, depth, learning rate, row and column samples, leaf size.
+# Search ranges (fixed values): trees, depth, learning rate, row and column samples, least gain of a split, leaf size.
 SEARCH_SPACE = {
     "gbt": {
         "maxIter": (50, 300),
         "maxDepth": (3, 15),
-        "stepSize": (0.01, 0.3),
+        "stepSize": (0.01, 0.3, "log"),
         "subsamplingRate": (0.5, 1.0),
         "featureShare": (0.5, 1.0),
+        "minInfoGain": (0.0, 5.0),
         "minInstancesPerNode": (1, 10),
     },
     "rf": {
@@ -47,6 +48,23 @@ SEARCH_SPACE = {
         "bootstrap": (0, 1),
     },
 }
+# Ranges of the share model where they differ (fixed values).
+SHARE_SEARCH_SPACE = {
+    "maxIter": (200, 600),
+    "maxDepth": (3, 12),
+    "stepSize": (0.01, 0.20),
+    "subsamplingRate": (0.5, 1.0),
+    "featureShare": (0.4, 1.0),
+    "minInstancesPerNode": (1, 20),
+}
+TREE_COUNT = "maxIter"
+# Metrics that one pass gives for every number of trees of a boosted model.
+PREFIX_LOSSES = {"mae": "absolute", "mse": "squared"}
+COUNTS_PER_FIT = 5
+
+
+def search_space(model_type: str, kind: str = "gbt") -> dict[str, tuple]:
+    return SHARE_SEARCH_SPACE if (model_type, kind) == ("xgb_share", "gbt") else SEARCH_SPACE[kind]
 
 
 def estimator(kind: str, **params):
@@ -135,10 +153,8 @@ def expanding_cv(
 ) -> DataFrame:
     """(fold, score) with the table written once and read per fold with a fold filter."""
     features, label = select_features(df, model_type)
-    folds = expanding_folds(df) if folds is None else folds
-    table = stage(
-        with_label(df, features, label).select("date", *features, "label").join(F.broadcast(folds), "date"), "cv"
-    )
+    folds = broadcast_if_small(expanding_folds(df)) if folds is None else folds
+    table = stage(with_label(df, features, label).select("date", *features, "label").join(folds, "date"), "cv")
     return _cv_scores(table, features, kind, metric, parallelism=4, **params)
 
 
@@ -162,21 +178,28 @@ def _cv_scores(
     return table.sparkSession.createDataFrame(parts, "fold int, score double")
 
 
-def sample_params(space: dict[str, tuple[float, float]], n_trials: int, seed: int = SEED) -> list[dict]:
-    """Seeded random parameter sets; integer ranges give integers, learning rates are log-uniform."""
-    rng = random.Random(seed)
-    trials = []
-    for _ in range(n_trials):
-        trial = {}
-        for name, (low, high) in space.items():
-            if name == "stepSize":
-                trial[name] = low * (high / low) ** rng.random()
-            elif isinstance(low, int) and isinstance(high, int):
-                trial[name] = rng.randint(low, high)
-            else:
-                trial[name] = rng.uniform(low, high)
-        trials.append(trial)
-    return trials
+def prefix_scores(model: PipelineModel, df: DataFrame, label: str, metric: str = "mae") -> list[float]:
+    """Error of a boosted model cut after 1, 2, .. trees, all from one pass over ``df``."""
+    features = feature_names(model)
+    rows = PipelineModel(model.stages[:-1]).transform(with_label(df, features, label))
+    return model.stages[-1].evaluateEachIteration(rows, PREFIX_LOSSES[metric])
+
+
+def _prefix_cv_scores(
+    table: DataFrame, features: list[str], metric: str, counts: list[int], parallelism: int = 1, **params
+) -> dict[int, float]:
+    """Mean score over the folds per number of trees: one fit per fold with the most trees."""
+    last = table.agg(F.max("fold")).first()[0]
+
+    def run(fold: int) -> list[float]:
+        train, test = table.filter(F.col("fold") < fold), table.filter(F.col("fold") == fold)
+        model = fit(train, features, "label", "gbt", **params | {TREE_COUNT: max(counts)})
+        scores = prefix_scores(model, test, "label", metric)
+        return [scores[min(count, len(scores)) - 1] for count in counts]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        folds = list(pool.map(run, range(1, last + 1)))
+    return {count: sum(scores) / len(folds) for count, scores in zip(counts, zip(*folds))}
 
 
 def param_search(
@@ -188,23 +211,34 @@ def param_search(
     folds: DataFrame | None = None,
     metric: str = "mae",
     parallelism: int = 4,
+    counts_per_fit: int = COUNTS_PER_FIT,
+    seed: int = SEED,
 ) -> DataFrame:
-    """(trial, params, cv_score) best first. Trials are submitted side by side; Spark does each fit."""
-    features, label = select_features(df, model_type)
-    folds = expanding_folds(df) if folds is None else folds
-    table = stage(
-        with_label(df, features, label).select("date", *features, "label").join(F.broadcast(folds), "date"), "search"
-    )
-    trials = sample_params(space or SEARCH_SPACE[kind], n_trials)
-
-    def run(numbered: tuple[int, dict]) -> tuple[int, str, float]:
-        trial, params = numbered
-        scores = [r["score"] for r in _cv_scores(table, features, kind, metric, **params).toLocalIterator()]
-        text = ", ".join(f"{k}={round(v, 6)}" for k, v in sorted(params.items()))
-        return trial, text, sum(scores) / len(scores)
+    """(trial, params, cv_score) best first, over expanding date folds; the sampler is :mod:`search`.
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        rows = list(pool.map(run, enumerate(trials)))
+    A boosted model with fewer trees is the beginning of one with more. So ``counts_per_fit`` trials in turn share
+    their other parameters and one fit per fold; the sampler proposes a number of trees for each of them. With
+    ``counts_per_fit=1``, for forests, and for metrics that need the whole prediction, every trial is a fit of its own.
+    Folds are fitted side by side, each by Spark jobs; the same seed gives the same trials however they are timed.
+    """
+    features, label = select_features(df, model_type)
+    folds = broadcast_if_small(expanding_folds(df)) if folds is None else folds
+    table = stage(with_label(df, features, label).select("date", *features, "label").join(folds, "date"), "search")
+    space = space or search_space(model_type, kind)
+    shared = counts_per_fit if kind == "gbt" and metric in PREFIX_LOSSES and TREE_COUNT in space else 1
+    done: list[tuple[dict, float]] = []
+    while len(done) < n_trials:
+        first, width = len(done), min(shared, n_trials - len(done))
+        params = propose(space, done, first, seed)
+        if shared == 1:
+            scores = [r["score"] for r in _cv_scores(table, features, kind, metric, parallelism, **params).toLocalIterator()]
+            done.append((params, sum(scores) / len(scores)))
+            continue
+        counts = [propose({TREE_COUNT: space[TREE_COUNT]}, done, first + i, seed)[TREE_COUNT] for i in range(width)]
+        scored = _prefix_cv_scores(table, features, metric, counts, parallelism, **params)
+        done += [(params | {TREE_COUNT: count}, scored[count]) for count in counts]
+    text = lambda params: ", ".join(f"{k}={round(v, 6)}" for k, v in sorted(params.items()))
+    rows = [(trial, text(params), float(found)) for trial, (params, found) in enumerate(done)]
     return df.sparkSession.createDataFrame(rows, "trial int, params string, cv_score double").orderBy("cv_score", "trial")
 
 

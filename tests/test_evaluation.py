@@ -10,7 +10,7 @@ import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
-from demandloom.forecast import naive, seasonal_regression, smoothing, tabular, trees
+from demandloom.forecast import naive, search, seasonal_regression, smoothing, tabular, trees
 from demandloom.operators import metrics, profile, quantiles
 
 
@@ -214,7 +214,47 @@ def test_tree_model_roundtrip_cv_and_importance(spark, tmp_path):
         trees.train(table.withColumn("noise", F.lit(None).cast("double")), "xgb_total")
 
 
-def test_sampled_parameters_are_seeded_and_in_range():
-    trials = trees.sample_params(trees.SEARCH_SPACE["gbt"], 20)
-    assert trials == trees.sample_params(trees.SEARCH_SPACE["gbt"], 20)
-    assert all(50 <= t["maxIter"] <= 300 and 0.01 <= t["stepSize"] <= 0.3 for t in trials)
+def test_sampler_is_seeded_and_stays_in_range():
+    space = trees.SEARCH_SPACE["gbt"]
+    done = []
+    for number in range(40):
+        trial = search.propose(space, done, number, 3)
+        assert trial == search.propose(space, done, number, 3) and set(trial) == set(space)
+        for name, bounds in space.items():
+            assert bounds[0] <= trial[name] <= bounds[1] and isinstance(trial[name], type(bounds[0]))
+        done.append((trial, abs(trial["maxDepth"] - 9) + abs(trial["featureShare"] - 0.8)))
+    assert search.propose(space, done, 40, 3) != search.propose(space, done, 40, 4)
+
+
+def test_sampler_moves_to_the_better_trials():
+    """Late trials lie nearer to the optimum than the even ones at the start, on a linear and a log range."""
+    space = {"a": (0.0, 1.0), "b": (0.001, 1.0, "log")}
+    miss = lambda p: abs(p["a"] - 0.8) + abs(search.to_unit(p["b"], space["b"]) - 0.3)
+    early, late = [], []
+    for seed in range(8):
+        done = []
+        for number in range(50):
+            trial = search.propose(space, done, number, seed)
+            done.append((trial, miss(trial)))
+        early += [score for _, score in done[: search.STARTUP]]
+        late += [score for _, score in done[-search.STARTUP :]]
+    assert np.mean(late) < 0.5 * np.mean(early)
+
+
+def test_range_units_round_trip():
+    assert [search.from_unit(u, (1, 3)) for u in (0.0, 0.34, 0.99, 1.0)] == [1, 2, 3, 3]
+    assert abs(search.from_unit(search.to_unit(0.05, (0.01, 0.3, "log")), (0.01, 0.3, "log")) - 0.05) < 1e-12
+
+
+def test_prefix_of_a_boosted_fit_is_the_smaller_fit(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (200, 3))
+    data = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": 3 * x[:, 0] + x[:, 1] ** 2})
+    table = spark.createDataFrame(data).coalesce(1)
+    settings = {"maxDepth": 3, "subsamplingRate": 0.7, "featureShare": 0.7}
+    whole = trees.fit(table, ["a", "b", "c"], "y", maxIter=6, **settings)
+    curve = trees.prefix_scores(whole, table, "y")
+    assert len(curve) == 6
+    for count in (2, 4):
+        small = trees.score(trees.fit(table, ["a", "b", "c"], "y", maxIter=count, **settings), table, "y")
+        assert abs(metrics.error_metrics(small).first()["mae"] - curve[count - 1]) < 1e-9

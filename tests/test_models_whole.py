@@ -29,12 +29,16 @@ def test_estimators_have_their_defaults(spark, sf_dir, name, monkeypatch):
 
 
 def test_search_runs_all_trials_over_all_ranges(spark, sf_dir, monkeypatch):
+    """Fifty trials, five to a fit; every fit asks for all ranges and every trial has a number of trees."""
     calls = []
 
-    def scored(table, features, kind, metric, **params):
-        calls.append(params)
-        return table.sparkSession.createDataFrame([(1, 1.0)], "fold int, score double")
+    def scored(table, features, metric, counts, parallelism, **params):
+        calls.append((params, counts))
+        return {count: 1.0 for count in counts}
 
-    monkeypatch.setattr(trees, "_cv_scores", scored)
+    monkeypatch.setattr(trees, "_prefix_cv_scores", scored)
     assert entry.queries()["param_search"](spark, sf_dir).count() == 50
-    assert len(calls) == 50 and all(set(c) == set(trees.SEARCH_SPACE["gbt"]) for c in calls)
+    assert sum(len(counts) for _, counts in calls) == 50
+    assert all(set(params) == set(trees.SEARCH_SPACE["gbt"]) for params, _ in calls)
+    assert len({tuple(sorted(params.items())) for params, _ in calls}) == len(calls)
+    assert trees.search_space("xgb_share")["maxIter"] == (200, 600) and "minInfoGain" in trees.search_space("xgb_total")
