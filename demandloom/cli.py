@@ -33,9 +33,10 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 
 
 def audit(spark: SparkSession, args: argparse.Namespace):
-    features, _ = datasets.select_features(read_table(spark, args.dataset), args.model_type)
+    table = read_table(spark, args.dataset)
+    features, label = datasets.select_features(table, args.model_type)
     extra = {c.strip() for c in args.known_future.split(",") if c.strip()}
-    report = guards.audit_features(spark, features, args.horizon_days, guards.KNOWN_FUTURE | extra)
+    report = guards.audit_table(table, features, label, args.horizon_days, guards.KNOWN_FUTURE | extra)
     if args.output:
         write_report(report, args.output)
     return report

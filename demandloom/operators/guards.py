@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandloom.functions.rounding import round_to
+
 # Prediction artifacts and labels that may never be features (fixed values).
 ALWAYS_FORBIDDEN = {"y_true", "y_pred", "pred_total", "pred_share", "pred_quantity"}
 FORBIDDEN_BY_MODEL = {
@@ -112,6 +114,57 @@ def audit_features(
     )
 
 
+# Findings of the rows (fixed values): |correlation| with the label of the same day from which a column counts as its
+# copy, and the share of missing values from which it counts as empty.
+COPY_CORRELATION = 0.999
+EMPTY_SHARE = 0.5
+DISTINCT_DIGITS = 6
+
+
+def feature_profile(df: DataFrame, features: Iterable[str], label: str) -> DataFrame:
+    """(feature, n_rows, null_share, n_distinct, label_corr) of numeric or boolean columns, from one pass.
+
+    Rows become (feature, value, label); distinct counts and moments are partial aggregates, first per feature and
+    value, so neither a wide table nor a frequent value meets in one task. ``label_corr`` is the correlation with
+    the label of the same row where both are known, NULL if either is constant there. Values that agree to six
+    decimals count as one, as sums in another order differ beyond.
+    """
+    value = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+    cells = [F.struct(F.lit(c).alias("feature"), value(c).alias("x")) for c in sorted(set(features))]
+    rows = df.select(value(label).alias("y"), F.inline(F.array(*cells)))
+    x, y = (F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col(c)) for c in "xy")
+    return rows.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.lit(1.0) - F.count("x") / F.count(F.lit(1))).alias("null_share"),
+        F.countDistinct(round_to(F.col("x"), DISTINCT_DIGITS)).alias("n_distinct"),
+        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("label_corr"),
+    )
+
+
+def audit_table(
+    df: DataFrame, features: Iterable[str], label: str, horizon_days: int, known_future: Iterable[str] | None = None
+) -> DataFrame:
+    """The rule verdict of every feature beside what its rows show.
+
+    ``finding`` is the first that holds: ``empty`` (at least half missing), ``constant`` (at most one value),
+    ``copies label`` (correlation with the same day's label of 0.999 or more), else ``none``. A feature that copies
+    its label is ``blocked`` whatever its name says. A table without rows gives every feature as ``empty``.
+    """
+    rules = audit_features(df.sparkSession, features, horizon_days, known_future)
+    known = rules.join(feature_profile(df, features, label), "feature", "left")
+    known = known.fillna({"n_rows": 0, "null_share": 1.0, "n_distinct": 0})
+    finding = (
+        F.when(F.col("null_share") >= EMPTY_SHARE, "empty")
+        .when(F.col("n_distinct") <= 1, "constant")
+        .when(F.abs("label_corr") >= COPY_CORRELATION, "copies label")
+        .otherwise("none")
+    )
+    copied = F.col("finding") == "copies label"
+    texts = {"status": "blocked", "reason": AUDIT_TEXT["blocked"][0], "recommendation": AUDIT_TEXT["blocked"][1]}
+    checked = known.withColumn("finding", finding)
+    return checked.withColumns({c: F.when(copied, text).otherwise(F.col(c)) for c, text in texts.items()})
+
+
 def audit_status_counts(audit: DataFrame) -> DataFrame:
     return audit.groupBy("status").agg(F.count(F.lit(1)).alias("n_features"))
 

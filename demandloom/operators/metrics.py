@@ -7,7 +7,8 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.operators.quantiles import exact_quantiles
+from demandloom.functions.normal import normal_quantile
+from demandloom.operators.quantiles import exact_quantiles, value_ranks
 from demandloom.sources.staging import stage
 
 EPSILON = sys.float_info.epsilon
@@ -116,15 +117,48 @@ def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
     )
 
 
-def residual_quantiles(residuals: DataFrame, n_points: int = 99) -> DataFrame:
-    """Residual quantiles on an even probability grid: the ordinates of a Q-Q plot."""
+RANKS_AT_ONCE = 65_536
+
+
+def normal_fit(residuals: DataFrame, value: str = "residual") -> DataFrame:
+    """(n, slope, intercept, r): least-squares line of the ordered values over normal order statistics.
+
+    The i-th of n values meets the normal quantile of Filliben's median (i - 0.3175) / (n + 0.365), the first and
+    last those of 1 - 0.5^(1/n) and 0.5^(1/n). One distributed row per rank; the copies of a hot value are dealt
+    out in pieces of bounded size. Empty input gives n = 0 and NULL, equal values or one value a NULL line.
+    """
+    ranked = stage(value_ranks(residuals, value), "value_ranks")
+    n = F.coalesce(ranked.agg(F.max("last_rank")).scalar(), F.lit(0))
+    piece = F.explode(F.sequence("first_rank", "last_rank", F.lit(RANKS_AT_ONCE).cast("bigint")))
+    pieces = ranked.select("v", "last_rank", piece.alias("start")).repartition("start")
+    ranks = pieces.select("v", F.explode(F.sequence("start", F.least("last_rank", F.col("start") + RANKS_AT_ONCE - 1))).alias("i"))
+    end = F.pow(F.lit(0.5), F.lit(1.0) / n)
+    middle = (F.col("i") - 0.3175) / (n + 0.365)
+    median = F.when(F.col("i") == n, end).when(F.col("i") == 1, 1.0 - end).otherwise(middle)
+    paired = ranks.select("v", normal_quantile(median).alias("z"))
+    return paired.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.try_divide(F.covar_pop("v", "z"), F.nullif(F.var_pop("z"), F.lit(0.0))).alias("slope"),
+        (F.avg("v") - F.try_divide(F.covar_pop("v", "z"), F.nullif(F.var_pop("z"), F.lit(0.0))) * F.avg("z")).alias("intercept"),
+        F.try_divide(F.covar_pop("v", "z"), F.nullif(F.stddev_pop("v") * F.stddev_pop("z"), F.lit(0.0))).alias("r"),
+    )
+
+
+def residual_quantiles(residuals: DataFrame, n_points: int = 99, fit: DataFrame | None = None) -> DataFrame:
+    """Residual quantiles on an even probability grid, with the normal ordinate of each and, given the row of
+    :func:`normal_fit`, the point of the fitted line: what a Q-Q plot shows."""
     grid = [round(i / (n_points + 1), 6) for i in range(1, n_points + 1)]
-    return exact_quantiles(residuals, "residual", grid)
+    points = exact_quantiles(residuals, "residual", grid).withColumn("normal", normal_quantile(F.col("probability")))
+    if fit is None:
+        return points
+    line = stage(fit, "normal_fit")
+    return points.withColumn("fitted", line.select("intercept").scalar() + line.select("slope").scalar() * F.col("normal"))
 
 
 __all__ = [
     "error_metrics",
     "histogram",
+    "normal_fit",
     "residual_quantiles",
     "wape",
     "wape_by_volume",

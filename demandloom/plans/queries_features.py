@@ -215,27 +215,39 @@ def feature_select_total(inputs: Inputs) -> DataFrame:
     return table.select(*features, F.col(label).alias("label"))
 
 
+_AUDITED = [c.split(":")[0] for c in _TOTAL_FEATURES.split()]
+_PROFILE = " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, count(*) AS n_rows, 1 - count({c}) / CAST(count(*) AS DOUBLE) AS null_share,
+               count(DISTINCT {catalog.oracle.rounded(f"CAST({c} AS DOUBLE)", 6)}) AS n_distinct,
+               CASE WHEN count(DISTINCT {c}) > 1 THEN corr(CAST({c} AS DOUBLE), CAST(quantity AS DOUBLE)) END AS label_corr FROM total"""
+    for c in _AUDITED
+)
+
+
 @query(
     "feature_audit",
-    "feature:string status:string reason:string recommendation:string horizon_days:int",
-    "",
-    """SELECT feature, status, reason, recommendation, 7 AS horizon_days
-       FROM (SELECT unnest(string_split(
-               'unit_price discount kronemarked promo_combined promotion_count closed_in_last_3_days closed_in_next_4_days is_holiday days_to_nearest_holiday day_of_week_num sin_dow cos_dow sin_day cos_day month sales_lag_1 sales_lag_7 rolling_mean_7 rolling_std_7 rolling_std_30 days_since_last_kronemarked days_since_last_promotion', ' ')) AS feature)
+    "feature:string status:string reason:string recommendation:string horizon_days:int n_rows:long null_share:double"
+    " n_distinct:long label_corr:double finding:string",
+    "total",
+    f"""SELECT feature, t.status, reason, recommendation, 7 AS horizon_days, n_rows, null_share, n_distinct, label_corr, finding
+       FROM (SELECT *, CASE WHEN null_share >= 0.5e0 THEN 'empty' WHEN n_distinct <= 1 THEN 'constant'
+                            WHEN abs(label_corr) >= 0.999e0 THEN 'copies label' ELSE 'none' END AS finding FROM ({_PROFILE})) p
        JOIN (SELECT * FROM (VALUES
+          ('blocked', 'direct target/prediction artifact', 'remove from feature set'),
           ('known_future', 'explicitly listed as forecast-time available', 'safe to keep'),
           ('history_derived', 'looks history-derived (must be shift-safe)', 'keep only if computed from t-1 and earlier'),
           ('unknown', 'not matched by known-safe or history-derived rules', 'manual feature-availability review'))
-          t(status, reason, recommendation))
-         ON status = CASE WHEN regexp_matches(feature, 'lag|rolling|days_since_last') THEN 'history_derived'
-                          WHEN feature IN ('unit_price', 'closed_in_last_3_days') THEN 'unknown'
-                          ELSE 'known_future' END""",
+          v(status, reason, recommendation)) t
+         ON t.status = CASE WHEN finding = 'copies label' THEN 'blocked'
+                            WHEN regexp_matches(feature, 'lag|rolling|days_since_last') THEN 'history_derived'
+                            WHEN feature IN ('unit_price', 'closed_in_last_3_days') THEN 'unknown'
+                            ELSE 'known_future' END""",
 )
 def feature_audit(inputs: Inputs) -> DataFrame:
-    """Audit of the features the total model would get from the written table."""
+    """Rules and row profile of the features that the total model gets from the written table."""
     table = datasets.total_dataset(catalog.features(inputs))
-    features, _ = datasets.select_features(table, "xgb_total")
-    return guards.audit_features(inputs.spark, features, 7)
+    features, label = datasets.select_features(table, "xgb_total")
+    return guards.audit_table(table, features, label, 7)
 
 
 # --- encodings and splits ------------------------------------------------------------

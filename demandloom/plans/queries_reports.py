@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.forecast import naive
+from demandloom.functions.normal import normal_quantile_sql
 from demandloom.operators import cleaning, datasets, metrics, profile, windows
 from demandloom.plans import catalog
 from demandloom.plans.catalog import query
@@ -338,18 +339,42 @@ def log_residual_histogram(inputs: Inputs) -> DataFrame:
     return metrics.histogram(metrics.with_residuals(evaluation(inputs)), "log_residual", 30)
 
 
+_MEDIAN = "(CASE WHEN i = n THEN 0.5e0 ** (1e0 / n) WHEN i = 1 THEN 1 - 0.5e0 ** (1e0 / n) ELSE (i - 0.3175e0) / (n + 0.365e0) END)"
+catalog.oracle.cte(
+    "normal_pairs",
+    "evaluation",
+    f"""SELECT v, {normal_quantile_sql("m")} AS z FROM (
+          SELECT v, {_MEDIAN} AS m FROM (
+            SELECT y_true - y_pred AS v, row_number() OVER (ORDER BY y_true - y_pred) AS i, count(*) OVER () AS n FROM evaluation))""",
+)
+_LINE = "regr_slope(v, z) AS slope, regr_intercept(v, z) AS intercept, corr(v, z) AS r"
+
+
+@query(
+    "normal_fit",
+    "n:long slope:double intercept:double r:double",
+    "normal_pairs",
+    f"SELECT count(*) AS n, {_LINE} FROM normal_pairs",
+)
+def normal_fit(inputs: Inputs) -> DataFrame:
+    return metrics.normal_fit(metrics.with_residuals(evaluation(inputs)))
+
+
 @query(
     "residual_quantiles",
-    "probability:double quantile:double",
-    "evaluation",
-    """SELECT unnest(p) AS probability, unnest(q) AS quantile
+    "probability:double quantile:double normal:double fitted:double",
+    "evaluation normal_pairs",
+    f"""SELECT probability, quantile, {normal_quantile_sql("probability")} AS normal,
+               intercept + slope * ({normal_quantile_sql("probability")}) AS fitted
+        FROM (SELECT unnest(p) AS probability, unnest(q) AS quantile
        FROM (SELECT [i / 100e0 for i in range(1, 100)] AS p,
                     quantile_cont(y_true - y_pred, ["""
     + ", ".join(f"{i / 100}" for i in range(1, 100))
-    + "]) AS q FROM evaluation)",
+    + f"]) AS q FROM evaluation)), (SELECT {_LINE} FROM normal_pairs)",
 )
 def residual_quantiles(inputs: Inputs) -> DataFrame:
-    return metrics.residual_quantiles(metrics.with_residuals(evaluation(inputs)))
+    residuals = metrics.with_residuals(evaluation(inputs))
+    return metrics.residual_quantiles(residuals, fit=metrics.normal_fit(residuals))
 
 
 @query(

@@ -258,3 +258,54 @@ def test_prefix_of_a_boosted_fit_is_the_smaller_fit(spark):
     for count in (2, 4):
         small = trees.score(trees.fit(table, ["a", "b", "c"], "y", maxIter=count, **settings), table, "y")
         assert abs(metrics.error_metrics(small).first()["mae"] - curve[count - 1]) < 1e-9
+
+
+# --- normal ordinates -------------------------------------------------------------------
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from demandloom.functions.normal import normal_quantile
+
+    grid = [1e-300, 1e-20, 1e-9, 0.01, 0.074, 0.076, 0.3, 0.5, 0.7, 0.924, 0.926, 0.999999, 1 - 1e-12]
+    got = spark.createDataFrame([(p,) for p in grid], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect()
+    for p, z in got:
+        assert abs(z - NormalDist().inv_cdf(p)) < 1e-9 * max(1, abs(z))
+    outside = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (None,)], "p double").select(normal_quantile(F.col("p")))
+    assert {r[0] for r in outside.collect()} == {None}
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 1024])
+def test_value_ranks(spark, blocks):
+    rng = random.Random(blocks)
+    data = [float(rng.choice([0, 0, 0, rng.randint(-50, 50), rng.random()])) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in [*data, None, float("nan")]], "x double").repartition(3)
+    got = values(quantiles.value_ranks(df, "x", blocks), "v", "w", "first_rank", "last_rank")
+    ordered = sorted(data)
+    expected = []
+    for v in sorted(set(data)):
+        first = ordered.index(v) + 1
+        expected.append((v, data.count(v), first, first + data.count(v) - 1))
+    assert got == expected
+
+
+def test_normal_fit(spark, monkeypatch):
+    """The line over all ranks, a hot value cut in pieces; empty, single and equal values have none."""
+    from statistics import NormalDist
+
+    monkeypatch.setattr(metrics, "RANKS_AT_ONCE", 10)
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.normal(3, 2, 150), np.zeros(80)])
+    frame = lambda xs: spark.createDataFrame([(float(x),) for x in xs], "residual double")
+    row = metrics.normal_fit(frame(data)).first()
+    n = len(data)
+    medians = [1 - 0.5 ** (1 / n), *[(i - 0.3175) / (n + 0.365) for i in range(2, n)], 0.5 ** (1 / n)]
+    z = np.array([NormalDist().inv_cdf(m) for m in medians])
+    slope, intercept = np.polyfit(z, np.sort(data), 1)
+    assert row["n"] == n and abs(row["slope"] - slope) < 1e-9 and abs(row["intercept"] - intercept) < 1e-9
+    assert abs(row["r"] - np.corrcoef(z, np.sort(data))[0, 1]) < 1e-9
+    assert tuple(metrics.normal_fit(frame([])).first()) == (0, None, None, None)
+    assert tuple(metrics.normal_fit(frame([5.0])).first()) == (1, None, None, None)
+    equal = metrics.normal_fit(frame([5.0] * 4)).first()
+    assert equal["slope"] == 0 and equal["intercept"] == 5 and equal["r"] is None

@@ -315,3 +315,21 @@ def test_exponential_mean_stays_in_the_jvm(spark):
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_audit_follows_the_rows(spark):
+    rows = [(float(i), 2.0 * i + 1, 4.0, None if i else 1.0, float("nan") if i % 2 else 1.0 * (i % 3)) for i in range(12)]
+    table = spark.createDataFrame(rows, "quantity double, sales_lag_1 double, month double, odd double, discount double")
+    audit = guards.audit_table(table.repartition(3), ["sales_lag_1", "month", "odd", "discount"], "quantity", 7)
+    found = {r["feature"]: r for r in audit.collect()}
+    assert {f: r["finding"] for f, r in found.items()} == {
+        "sales_lag_1": "copies label", "month": "constant", "odd": "empty", "discount": "empty",
+    }
+    assert found["sales_lag_1"]["status"] == "blocked" and found["month"]["status"] == "known_future"
+    assert found["discount"]["null_share"] == 0.5 and found["discount"]["n_distinct"] == 3
+    assert found["month"]["label_corr"] is None and abs(found["sales_lag_1"]["label_corr"] - 1) < 1e-12
+    changed = table.withColumn("sales_lag_1", F.col("quantity") % 3)
+    after = {r["feature"]: r for r in guards.audit_table(changed, ["sales_lag_1"], "quantity", 7).collect()}
+    assert after["sales_lag_1"]["finding"] == "none" and after["sales_lag_1"]["status"] == "history_derived"
+    empty = guards.audit_table(table.limit(0), ["month"], "quantity", 7).first()
+    assert (empty["n_rows"], empty["n_distinct"], empty["finding"]) == (0, 0, "empty")
