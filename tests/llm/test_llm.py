@@ -339,6 +339,38 @@ def test_hidden_elements_never_hide_the_article(page):
     assert html_text.blocks(page) == (["a", "b"], True)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><p data-role='notice'>a</p><p data-id=search data-class='ad'>b</p></article>",
+        "<article><p data-x=it's>a</p><p>b</p></article>",
+        "<article><p title=\"x\"y\">a</p><p title = 'p > q' class>b</p></article>",
+        "<article><p title=\"'\">a</p><p a/b=c / >b</p></article>",
+        "<article><p class=x class=ad>a</p><p id= >b</p></article>",
+        "<article><header><h2>no</h2></header><p>a</p><p>b</p></article>",
+        "<article><p>a</p><p>b</p><div class='comment-thread'>no</div><div class='user-comments'>no</div></article>",
+        "<article><p>a</p><p>b</p><ol id='commentlist'><li>no</ol><section aria-label='Reader comments'>no</section></article>",
+        "<article><p>a</p><p aria-label='Search results in full'>b</p></article>",
+        "<article><p>a</p><p class='no-comments has-comments'>b</p></article>",
+    ],
+)
+def test_irregular_attributes_lose_no_text(page):
+    assert html_text.blocks(page) == (["a", "b"], True)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b>" * 50_000 + "<hr>" * 50_000, "</i>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, "<aside>" * 50_000 + "<article></article>" * 50_000,
+     "<p><b>" * 50_000, "<p x='" * 50_000, "<a " + "b=c " * 100_000 + ">", "<" * 100_000, "<li>x" * 100_000],
+)
+def test_long_irregular_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html_text.blocks(page)
+    assert time.process_time() - start < 4
+
+
 def test_unmarked_pages_lose_what_their_host_repeats(spark):
     menu = "home about all our pages and offers in one long line"
     rows = [(k, "http://h.example/" + str(k), f"<body><div>{menu}</div><p>{k} own text of it</p></body>", "t") for k in range(6)]
