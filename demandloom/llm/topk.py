@@ -13,7 +13,7 @@ bounded sample of the vectors (also the source of the pivots): a lower bound for
 
 Queries are taken in blocks of bounded size against all rows; only a block, the pivots and the
 sample are ever in the driver. Scores are integers and exact (float64 products below 2**53, else
-64-bit integers).
+64-bit integers); a vector so long that its scores could leave 64 bits fails the job by its id.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part;
 null ids take no part; shorter vectors count as padded with 0; repeated rows are candidates each; a
@@ -36,18 +36,23 @@ from demandloom.sources.staging import new_folder, stage
 SCALE = 1024
 #: Bounded sample of vectors for pivots and first bounds, number of pivots, queries per block, rows per annulus.
 SAMPLE, PIVOTS, BLOCK, ANNULUS = 4096, 64, 1024, 256
+#: Squared length of a scaled vector below which no product of two can leave 64 bits (a score is at most the larger).
+MAX_SQUARE = 2.0**62
 
 
 def to_ints(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v): the vectors that take part, as arrays of whole numbers."""
     x = F.col(vector)
     odd = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
+    whole = F.transform(x, lambda c: F.floor(SCALE * c.cast("double")))
+    square = F.aggregate(x, F.lit(0.0), lambda total, c: total + F.pow(SCALE * c.cast("double"), F.lit(2.0)))
+    too_long = F.raise_error(F.concat(F.lit("vector too long for 64-bit scores: id "), F.col(id_column).cast("string")))
     return (
         vectors.where(x.isNotNull() & F.col(id_column).isNotNull())
         .where((F.size(x) > 0) & ~odd)
         .select(
             F.col(id_column).cast("long").alias("vec_id"),
-            F.transform(x, lambda c: F.floor(SCALE * c.cast("double"))).alias("v"),
+            F.when(square < MAX_SQUARE, whole).otherwise(too_long.cast("array<bigint>")).alias("v"),
         )
     )
 

@@ -308,6 +308,18 @@ def test_contamination_edge_cases(spark):
     assert decontamination.drop_contaminated(odd_docs(spark), one).count() == 6
 
 
+def test_top_k_of_long_vectors_is_exact_or_fails(spark):
+    """Scores near 2^60 are exact; a vector whose scores could leave 64 bits is named."""
+    build = lambda xs: spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "vec_id long, embedding array<double>")
+    long = topk.to_ints(build([[1e6, 1.0], [1.0, 1e6], [1e6, -1e6]])).collect()
+    assert [r.v for r in long] == [[1_024_000_000, 1024], [1024, 1_024_000_000], [1_024_000_000, -1_024_000_000]]
+    rows = np.array([r.v for r in long])
+    assert topk._products(rows, rows).tolist() == [[sum(a * b for a, b in zip(x.v, y.v)) for y in long] for x in long]
+    for value in (4e9, 1e30):
+        with pytest.raises(Exception, match="too long for 64-bit scores: id 1"):
+            topk.to_ints(build([[1.0, 2.0], [value, 0.0]])).collect()
+
+
 # --- 8: html ------------------------------------------------------------------------------------
 
 
