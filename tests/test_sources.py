@@ -75,15 +75,17 @@ RAW = "gln long, ean_code long, date date, from_hour int, to_hour int, quantity
 
 
 def test_job_contract(spark, rows):
-    sales = rows(RAW, (1, 111, "2024-01-01", 8, 9, 5.0, 50.0, 5.0, 1.0), (1, 111, "2024-01-02", 8, 9, 5.0, 40.0, 4.0, 1.0))
-    ean_map = spark.createDataFrame([(111, "10")], "ean_code long, gb_id string")
+    """Three days of one product: the price falls by a quarter on the last, which becomes a promotion."""
+    net = {"2023-06-05": 24.0, "2023-06-06": 24.0, "2023-06-07": 18.0}
+    sales = rows(RAW, *[(4, 700, day, 10, 11, 3.0, amount, amount / 4, 0.5) for day, amount in net.items()])
+    ean_map = spark.createDataFrame([(700, "p7")], "ean_code long, gb_id string")
     campaign = spark.createDataFrame([], schemas.CAMPAIGN)
     periods = spark.createDataFrame([], schemas.MARKDOWN_PERIODS)
     features, mismatch = sales_daily.prepare_sales_data(sales, ean_map, campaign, periods)
     got = values(features, "date", "quantity", "unit_price", "on_promotion", "discount", "rolling_mean", "day_of_week_num")
-    assert [r[1:] for r in got] == [(5, 11.0, False, 0.0, 5.0, 0), (5, 8.8, True, -0.2, 5.0, 1)]
-    assert values(mismatch, "date", "standard_price") == [(dt.date(2024, 1, 2), 11.0)]
-    _, _, extra = sales_daily.prepare_sales_data_with_diagnostics(sales, ean_map, campaign, periods, "10")
+    assert [r[1:] for r in got] == [(3, 10.0, False, 0.0, 3.0, 0), (3, 10.0, False, 0.0, 3.0, 1), (3, 7.5, True, -0.25, 3.0, 2)]
+    assert values(mismatch, "date", "standard_price") == [(dt.date(2023, 6, 7), 10.0)]
+    _, _, extra = sales_daily.prepare_sales_data_with_diagnostics(sales, ean_map, campaign, periods, "p7")
     assert set(extra) == {"sales_hourly", "price_dispersion", "suspicious_daily_prices"}
 
 
