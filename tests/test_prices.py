@@ -166,3 +166,22 @@ def test_hot_copies_collapse_before_the_shuffle(rows, spark):
     plan = cleaning.distinct_rows(many)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2
     assert cleaning.distinct_rows(many).agg(F.count(F.lit(1))).first()[0] == 1
+
+
+def test_money_is_summed_in_whole_numbers(rows):
+    """Usual amounts meet no decimal; the sums are exact, also where amounts beyond 2**53 millionths take part."""
+    groups = [
+        [0.1] * 10 + [-0.3, None, 12345678.901234],
+        [9007199254.740991, 9007199254.740991, -1e-6],
+        [1e10, 0.000001, -2.5e15, 7.25],
+        [-0.75, -0.25],
+    ]
+    sales = rows("g long, x double", *[(g, x) for g, xs in enumerate(groups) for x in xs], (4, None))
+    out = sales.groupBy("g").agg(cleaning.money_sum("x").alias("s")).orderBy("g")
+    exact = [float(sum(round(x * 1e6) for x in xs if x is not None)) / 1e6 for xs in groups]
+    assert [r["s"] for r in out.collect()] == [*exact, None]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "as bigint)" in plan  # a multiple of LIMB and a rest
+    wide = rows("g long, x double", *[(1, x) for x in (float("nan"), 2.0)], (2, float("inf")), (2, 1.5), (3, 1e300), (3, 2.5))
+    found = dict(wide.groupBy("g").agg(cleaning.money_sum("x")).collect())
+    assert found[1] != found[1] and found[2] == float("inf") and found[3] == 1e300
