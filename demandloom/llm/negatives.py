@@ -43,7 +43,8 @@ from demandloom.sources.staging import stage, stage_lookup
 SCALE, POSITIVES, NEGATIVES = 256, 5, 5
 #: The window of a positive with score p: scores s with LOW * p <= 100 * s <= HIGH * p.
 LOW, HIGH = 80, 100
-#: Candidates of a block, anchors of a group, rows read from every list before the threshold is tested again.
+#: Candidates of a block, anchors of a group, rows read from every list before the threshold is first tested again;
+#: each later test waits for twice as many, so a search that must read far down takes few of them.
 BLOCK, GROUP, STEP = 2048, 256, 8
 
 _FOUND = "anchor_id long, window int, vec_id long, score long"
@@ -109,7 +110,7 @@ class Lists:
             if threshold is None or not len(down) + len(up):
                 fresh = np.flatnonzero(~seen)  # all lists are read, or the anchor is zero and all score alike
             else:
-                last = min(depth + step, size)
+                last, step = min(depth + step, size), 2 * step
                 met = [self.order[size - last : size - depth, down].ravel(), self.order[depth:last, up].ravel()]
                 new = np.zeros(size, bool)
                 new[np.concatenate(met)] = True

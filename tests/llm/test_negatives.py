@@ -92,3 +92,28 @@ def test_threshold_stops_before_all_candidates_are_scored():
         assert scored < 1200 or not anchor.any()
     above = np.full(2, 1000 * np.abs(anchor).sum() + 1)  # others are known to be better: nothing is read
     assert lists.search(anchor, nothing, windows, above, 5)[1] == 0 or not anchor.any()
+
+
+def test_a_search_far_down_tests_its_threshold_rarely():
+    """Wide random vectors: nearly all candidates are met before the threshold falls; reads double, results are whole."""
+    rng = np.random.default_rng(5)
+    rows, anchor = rng.integers(-40, 41, (2048, 64)), rng.integers(-40, 41, 64)
+    lists, reads = negatives.Lists(np.arange(2048), rows), []
+
+    class Counted:
+        def __init__(self, order):
+            self.order = order
+
+        def __getitem__(self, where):
+            reads.append(where)
+            return self.order[where]
+
+    lists.order = Counted(lists.order)
+    scores = rows @ anchor
+    windows = np.array([[0, np.sort(scores)[-10]], [-(10**9), 10**9]])
+    found, scored = lists.search(anchor, np.zeros(2048, bool), windows, np.full(2, negatives.NOTHING), 5)
+    assert scored > 1500 and len(reads) <= 2 * 9  # both ends of the lists; 8 + 16 + .. + 2048 is beyond the block
+    for (low, high), (at, got) in zip(windows, found):
+        inside = np.flatnonzero((scores >= low) & (scores <= high))
+        want = inside[np.lexsort((inside, -scores[inside]))[:5]]
+        assert at.tolist() == want.tolist() and got.tolist() == scores[want].tolist()
