@@ -1,6 +1,7 @@
 """Blocks of signatures stay small: a batch of them stands in the executor and in its Python worker at once."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from demandloom.llm import jaccard
 from demandloom.llm.common import BATCH_ROWS
@@ -12,3 +13,37 @@ def test_a_batch_of_signature_blocks_is_bounded():
     blocks = jaccard._emit(keys, owners, np.zeros(jaccard.HELD, np.uint8), jaccard.BUCKETS * 8).column(1).to_pylist()
     assert sum(map(len, blocks)) == 15 * jaccard.HELD
     assert BATCH_ROWS * max(map(len, blocks)) < 32 << 20
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_in_shingles(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for size in [1, 30, 64, 100, 350, 900] * 20:
+        x = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.integers(0, size) :], rng.integers(0, 1 << 62, rng.integers(0, size + 1)).astype(np.uint64)]))
+        for percent in (30, 80):  # at 30 one sketch may be many times as long
+            rows.append((*(jaccard.sketch(s, percent).tolist() for s in (x, y)), len(np.setxor1d(x, y))))
+    table = spark.createDataFrame(rows, "x array<long>, y array<long>, differ int")
+    found = table.select(jaccard._least_difference(F.col("x"), F.col("y")).alias("bits"), "differ").collect()
+    assert all(r.bits <= r.differ for r in found) and any(r.bits > r.differ // 2 > 0 for r in found)
+
+
+def test_pairs_that_do_not_link_are_not_compared(spark, monkeypatch):
+    """Near copies, most of them too far from each other: compared pairs stay near the number of links."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for at in rng.choice(150, rng.integers(2, 10), replace=False):
+            words[at] = f"e{rng.integers(40)}"
+        texts.append(" ".join(words))
+    compared = []
+    linked = jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda pairs, *rest: compared.append(pairs.count()) or linked(pairs, *rest))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.similar_documents(table, 5, 80).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(a, b) for b in range(300) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert links and all(found[a] == found[b] for a, b in links)
+    assert sum(compared) <= 300 + len(links)
