@@ -47,3 +47,18 @@ def test_pairs_that_do_not_link_are_not_compared(spark, monkeypatch):
     links = [(a, b) for b in range(300) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert links and all(found[a] == found[b] for a, b in links)
     assert sum(compared) <= 300 + len(links)
+
+
+def test_texts_hashed_together_have_their_own_sets(monkeypatch):
+    """A task hashes the words of many texts in one array: no shingle reaches into the next text, none is lost."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["a", "B", "cé", "d"], rng.integers(0, 9))).encode() for _ in range(300)] + [b"", b" \t", b"a b c d" * 9]
+    for size in (1, 4, 5):
+        alone = [next(jaccard.Shingler(size).sets([t])) for t in texts]
+        shingles = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if (w := t.lower().split()) else set() for t in texts]
+        assert [len(s) for s in alone] == [len(s) for s in shingles]
+        assert len({h for s in alone for h in s.tolist()}) == len(set().union(*shingles))
+        for together in (1, 40, 100_000):
+            monkeypatch.setattr(jaccard, "TEXT_AT_ONCE", together)
+            found = list(jaccard.Shingler(size).sets(texts))
+            assert len(found) == len(texts) and all(np.array_equal(x, y) for x, y in zip(found, alone))
