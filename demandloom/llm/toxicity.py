@@ -47,6 +47,8 @@ LOOK_ALIKE = {
     "l": "i", "1": "i", "!": "i", "|": "i",
 }
 _TABLE = {ord(a): b for a, b in LOOK_ALIKE.items()}
+#: The same with a space for everything but letters, for texts of ASCII alone.
+_ASCII = b"".join((LOOK_ALIKE.get(c) or (c if c.isalpha() else " ")).encode() for c in map(chr, range(128))) + b" " * 128
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MARKS = re.compile(r"[̀-ͯ]+")
 
@@ -56,6 +58,8 @@ def fold(text: str) -> str:
     low = text.lower()
     if not low.isascii():
         low = _MARKS.sub("", unicodedata.normalize("NFKD", low))
+    if low.isascii():
+        return f" {b' '.join(low.encode().translate(_ASCII).split()).decode()} "
     return f" {_NOT_LETTERS.sub(' ', low.translate(_TABLE)).strip()} "
 
 
